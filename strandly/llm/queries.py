@@ -44,7 +44,10 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     def listed(spans: Column) -> Column:
         return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
-    counts = [F.size(F.filter("spans", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    def of(kind: str) -> Callable[[Column], Column]:
+        return lambda x: x["kind"] == kind
+
+    counts = [F.size(F.filter("spans", of(k))).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
     base = F.filter("spans", lambda x: x["kind"] != "random")
     return done.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
