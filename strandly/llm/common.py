@@ -6,7 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -54,6 +54,11 @@ def with_ids(rows: DataFrame, ids: DataFrame, how: str, bound: int = BROADCAST_I
     return rows.join(F.broadcast(ids) if small else ids.hint("merge"), ids.columns[:1], how)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once a row, though `use` names it in a lambda's body."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def words(text: Column) -> Column:
     """The maximal runs of characters outside SPACE."""
     return F.filter(F.split(text, SPACE_RE), lambda x: x != F.lit(""))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, UPPER, cut
+from .common import LOWER, SPACE, UPPER, cut, let
 
 
 def _lines(text: Column) -> Column:
@@ -46,8 +46,12 @@ def line_dedup(docs: DataFrame, min_chars: int = 10, min_docs: int = 2, id_col:
     left, right = docs.withColumn("__t", mark), gone.withColumnsRenamed({"d": "__d", "t": "__u"})
     joined = left.join(right.hint("shuffle_hash"), (F.col("__t") == F.col("__u")) & F.col(id_col).eqNullSafe(F.col("__d")), "left")
     lines = _lines(F.col(text_col))
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
-    clean = F.when(F.col("__gone").isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(F.array_join(F.transform(kept, lambda i: F.element_at(lines, i + 1)), "\n"))
+
+    def rest(x: Column) -> Column:
+        kept = F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("__gone"))
+        return F.array_join(F.transform(kept, lambda i: F.get(x, i)), "\n")
+
+    clean = F.when(F.col("__gone").isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(let(lines, rest))
     counts = {"n_lines": F.size(lines).cast("long"), "n_dropped": F.coalesce(F.size("__gone"), F.lit(0)).cast("long")}
     others = [F.col(c) for c in docs.columns if c not in (text_col, *counts)]
     return joined.select(*others, clean.alias(text_col), *[v.alias(k) for k, v in counts.items()])

@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 from .bpe import bpe_decode, bpe_encode
 from .common import read
 from .exact_dedup import exact_dedup
+from .html_extract import extract
 from .line_dedup import line_dedup
+from .mixing import Targets, mix
+from .quality_rules import quality_rules
 from .secrets import find_secrets
 from .token_counts import token_counts
 
@@ -29,6 +32,41 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents"))
 
 
+def trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of the documents labelled good and not toxic."""
+    return read(spark, sf_dir, "labels").filter("quality = 1 AND toxic = 0").select("doc_id")
+
+
+#: Weights by domain, then language, then source; sources weigh the same.
+MIXTURE = Targets(
+    weights={
+        (): {"web": 0.45, "books": 0.25, "news": 0.2, "code": 0.1},
+        ("*",): {"en": 0.6, "de": 0.15, "fr": 0.15, "es": 0.1, "?": 0.05},
+    },
+    other=0.05,
+)
+
+
+def domain() -> Column:
+    """A source's domain: its trailing number modulo four; "web" without one."""
+    number = F.try_to_number(F.regexp_extract(F.col("source"), r"(\d{1,9})$", 1), F.lit("999999999"))
+    return F.coalesce(F.get(F.array(*map(F.lit, ("web", "books", "news", "code"))), F.pmod(number, F.lit(4)).cast("int")), F.lit("web"))
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = quality_rules(read(spark, sf_dir, "documents"), trusted(spark, sf_dir))
+    return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("score", 9).alias("score"))
+
+
+def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(read(spark, sf_dir, "pages"), ["page_id", "url"])
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = mix(read(spark, sf_dir, "documents"), MIXTURE, domain())
+    return done.select("doc_id", "domain", "lang", "source", "epoch", "n_tokens")
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -52,7 +90,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_bpe, op2_exact_dedup, op5_line_dedup, op7_token_counts, op9_secrets)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_bpe, op2_exact_dedup, op3_quality_rules, op4_html_extract, op5_line_dedup, op7_token_counts, op9_secrets, op10_mixing)}
 
 SQL: dict[str, str] = {
     "op2_exact_dedup": r"""
