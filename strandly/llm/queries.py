@@ -12,6 +12,7 @@ from .bpe import bpe_decode, bpe_encode
 from .common import read
 from .exact_dedup import exact_dedup
 from .html_extract import extract
+from .kneser_ney import classify
 from .line_dedup import line_dedup
 from .mixing import Targets, mix
 from .quality_rules import quality_rules
@@ -62,6 +63,10 @@ def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(read(spark, sf_dir, "pages"), ["page_id", "url"])
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(read(spark, sf_dir, "documents"), trusted(spark, sf_dir))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = mix(read(spark, sf_dir, "documents"), MIXTURE, domain())
     return done.select("doc_id", "domain", "lang", "source", "epoch", "n_tokens")
@@ -90,7 +95,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_bpe, op2_exact_dedup, op3_quality_rules, op4_html_extract, op5_line_dedup, op7_token_counts, op9_secrets, op10_mixing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_bpe, op2_exact_dedup, op3_quality_rules, op4_html_extract, op5_line_dedup, op7_token_counts, op8_quality_classifier, op9_secrets, op10_mixing)}
 
 SQL: dict[str, str] = {
     "op2_exact_dedup": r"""
