@@ -47,6 +47,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def fresh(df: DataFrame, *keys: str) -> DataFrame:
+    """The same rows with whole-number keys whose partitioning is not known, so that a join on
+    them deals both sides anew and can split a key with very many rows at runtime."""
+    return df.withColumns({k: F.expr(f"`{k}` ^ 0L") for k in keys})
+
+
 def with_ids(rows: DataFrame, ids: DataFrame, how: str, bound: int = BROADCAST_IDS) -> DataFrame:
     """Joins on the columns of `ids` (already cut): broadcast when its counted rows are at most
     `bound`, otherwise by a shuffle with the same result."""

@@ -12,6 +12,7 @@ from .bpe import bpe_decode, bpe_encode
 from .common import read
 from .exact_dedup import exact_dedup
 from .html_extract import extract
+from .jaccard_join import jaccard_join
 from .kneser_ney import classify
 from .line_dedup import line_dedup
 from .mixing import Targets, mix
@@ -77,6 +78,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(read(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -95,7 +100,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_bpe, op2_exact_dedup, op3_quality_rules, op4_html_extract, op5_line_dedup, op7_token_counts, op8_quality_classifier, op9_secrets, op10_mixing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_bpe, op2_exact_dedup, op3_quality_rules, op4_html_extract, op5_line_dedup, op6_jaccard_join, op7_token_counts, op8_quality_classifier, op9_secrets, op10_mixing)}
 
 SQL: dict[str, str] = {
     "op2_exact_dedup": r"""
@@ -104,6 +109,18 @@ SQL: dict[str, str] = {
         SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
                doc_id = first_value(doc_id) OVER w AS kept, sha256(t) AS text_sha256
         FROM n WINDOW w AS (PARTITION BY t ORDER BY c DESC, doc_id)""",
+    "op6_jaccard_join": r"""
+        WITH RECURSIVE w AS MATERIALIZED (
+          SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                 '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        s AS MATERIALIZED (SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 4], ' ') END AS g
+          FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM w WHERE len(w) > 0)),
+        n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        l AS MATERIALIZED (SELECT x, y FROM (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL) p
+          JOIN n m ON m.doc_id = x JOIN n o ON o.doc_id = y WHERE 100 * c >= 75 * (m.n + o.n - c)),
+        r(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x)
+        SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.y) AS component_id
+        FROM documents d JOIN r ON r.x = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id""",
     "op5_line_dedup": r"""
         WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
                           generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
