@@ -35,6 +35,7 @@ def filter_records(
     strip_records: Sequence[str] = (),
     keep_records: Sequence[str] = (),
     clear_dbsnp: bool = False,
+    samples: Sequence[str] = (),
 ) -> DataFrame:
     """The record-level filters in one step. pass_only looks at FILTER after it was rewritten."""
     if strip_records and keep_records:
@@ -52,7 +53,7 @@ def filter_records(
     if clear_dbsnp:
         out = out.withColumn("rsid", F.lit("."))
     if remove_genotypes:
-        out = out.drop("format", "samples")
+        out = out.drop("format", *samples)
     return out
 
 

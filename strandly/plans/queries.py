@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import alleles as A
-from ..functions import fields
+from ..functions import align, fields
 from ..operators import alleles as O
 from ..operators import distributions, filters, joins, stats, validate
 from ..operators import intervals as I
@@ -60,7 +60,7 @@ _named("filter_pass_only", lambda s, d: _filtered(quality=20, pass_only=True)(s,
 _named("filter_strip_info", lambda s, d: _filtered(strip_records=["DB"])(s, d).select("record_id", "info"))
 _named("filter_keep_info", lambda s, d: _filtered(keep_records=["DB"])(s, d).select("record_id", "info"))
 _named("filter_delete_info", lambda s, d: _filtered(delete_info=["AC", "DB"])(s, d).select("record_id", "info"))
-_named("filter_remove_genotypes", lambda s, d: _filtered(remove_genotypes=True)(s, d).drop(*SAMPLES).select("record_id", "chrom", "pos", "rsid", "ref", "alt", "flt", "info"))
+_named("filter_remove_genotypes", lambda s, d: _filtered(remove_genotypes=True, samples=SAMPLES)(s, d).select("record_id", "chrom", "pos", "rsid", "ref", "alt", "flt", "info"))
 
 
 @query
@@ -328,3 +328,31 @@ def modify_genotypes(spark, d):
     return _kept(spark, d).select("record_id", *SAMPLES)
 
 
+
+
+def _repeats(spark, d) -> DataFrame:
+    """Insertions of TG after n repeats of it, with the reference before them."""
+    rows = _alleles(variants(spark, d)).filter(F.col("cls") == A.INS)
+    n = (F.col("record_id") % 7 + 1).cast("int")
+    rows = rows.withColumn("left", F.concat(F.lit("ACCA"), F.repeat(F.lit("TG"), n - 1), F.lit("T")))
+    return rows.select("record_id", "npos", F.lit("G").alias("nref"), F.lit("GTG").alias("nalt"), "left")
+
+
+@query
+def left_align(spark, d):
+    return align.left_aligned(_repeats(spark, d))
+
+
+def _flanked(spark, d) -> DataFrame:
+    rows = _alleles(variants(spark, d)).filter(~F.col("cls").isin(A.SV, A.BND))
+    return rows.groupBy("nref", "nalt", "cls").agg(F.count(F.lit(1)).alias("n")).withColumns({"before": F.lit("ACCATTGACCGATAGC"), "after": F.lit("CCGATTACAGGCATGA")})
+
+
+@query
+def sw_align(spark, d):
+    return align.aligned(_flanked(spark, d)).select("nref", "nalt", "cls", "n", "score", "consistent")
+
+
+@query
+def cigar(spark, d):
+    return align.aligned(_flanked(spark, d)).select("nref", "nalt", "cls", "cigar")
