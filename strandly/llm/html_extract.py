@@ -165,8 +165,8 @@ def classify(found: list[Block], language: str) -> None:
     for i, b in enumerate(found):
         if b.label in ("good", "bad"):
             continue
-        # only blocks of the same part of the page can decide: inside the article or outside it
-        peers = [j for j in decided if found[j].main == b.main] if b.main else decided
+        # in the article what stands apart from it (comments, adverts) decides nothing
+        peers = [j for j in decided if found[j].main and not found[j].away] if b.main else decided
         left = max((j for j in peers if j < i), default=None)
         right = min((j for j in peers if j > i), default=None)
         said = {first[j] for j in (left, right) if j is not None}
