@@ -165,7 +165,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
                 other = other.filter(F.array_contains(fields.filters(F.col("flt")), "PASS"))
             b, sites = O.explode_alleles(other, ["qual"]), o.sites_only or o.mismatch
             if side == "q":
-                best = joins.best_quality(a, b, ["qual"])
+                best = joins.best_quality(a, b, ["qual", "aid"])
                 both = [(records, best.filter("source = 0")), (other, best.filter("source = 1"))]
                 done(_keep(both[0][0], both[0][1], per_allele, header.samples).unionByName(_keep(both[1][0], both[1][1], per_allele, header.samples), True), "intersect")
                 return 0

@@ -27,7 +27,7 @@ def split_most(s: Column, mark: str, most: int) -> Column:
 
 def split_any(s: Column, marks: str) -> Column:
     """Pieces around any of several characters, without empty ones."""
-    return F.filter(F.split(s, "[" + "".join("\\" + c for c in marks) + "]"), lambda x: x != "")
+    return F.filter(F.split(s, "[" + "".join(map(_quoted, marks)) + "]"), lambda x: x != "")
 
 
 def _quoted(mark: str) -> str:
@@ -51,7 +51,7 @@ def six_digits(x: Column) -> Column:
     power = F.concat(F.when(size < 0, "-").otherwise("+"), F.lpad(F.abs(size).cast("string"), 2, "0"))
     rounded = F.round(x / F.pow(F.lit(10.0), size - 5), 0) * F.pow(F.lit(10.0), size - 5)
     short = F.when(rounded == F.floor(rounded), rounded.cast("long").cast("string")).otherwise(F.regexp_replace(F.regexp_replace(F.format_string("%.10f", rounded), r"0+$", ""), r"\.$", ""))
-    return F.when(x == 0, "0").when((size < -4) | (size >= 6), F.concat(mantissa, F.lit("e"), power)).otherwise(short)
+    return F.when(x.isNull(), None).when(x == 0, "0").when((size < -4) | (size >= 6), F.concat(mantissa, F.lit("e"), power)).otherwise(short)
 
 
 def factorial(n: int) -> int:

@@ -84,19 +84,19 @@ def read_header(spark: SparkSession, path: str) -> Header:
     return Header.parse([r["value"].rstrip("\r") for r in lines])
 
 
-def parse(lines: DataFrame, header: Header, file_idx: int = 0) -> DataFrame:
+def parse(lines: DataFrame, header: Header, file_idx: int = 0, numbered: bool = True) -> DataFrame:
     """Records of a DataFrame of lines (value), samples as columns by name.
 
     A position that is no whole number is 0 and a quality that is none is null; both texts are
     kept as pos_raw and qual_raw for the validation rules. record_id follows the order of the
-    scan: splits of a file in order, lines in order."""
-    own = lines.withColumn("record_id", F.monotonically_increasing_id()).filter(~F.col("value").startswith("#") & (F.col("value") != ""))
+    scan: splits of a file in order, lines in order; without `numbered` there is none (streams)."""
+    own = (lines.withColumn("record_id", F.monotonically_increasing_id()) if numbered else lines).filter(~F.col("value").startswith("#") & (F.col("value") != ""))
     n = len(COLUMNS) + 1 + len(header.samples)
     own = own.withColumn("p", F.split(F.rtrim(F.col("value"), F.lit("\r\n")), "\t", n if header.samples else -1))
     at = lambda i: F.get("p", F.lit(i))
     qual = F.when(at(5) == ".", None).otherwise(leading_double(at(5)))
     cols = [
-        "record_id",
+        *(["record_id"] if numbered else []),
         at(0).alias("chrom"),
         leading_int(at(1)).cast("int").alias("pos"),
         at(2).alias("rsid"),

@@ -13,7 +13,7 @@ def filter_stream(spark: SparkSession, folder: str, header: vcf.Header, classes:
     """Records of the files that come into a folder, filtered as `filter_records` does. All steps
     are narrow, so the stream needs no state and no watermark."""
     lines = spark.readStream.text(folder)
-    out = filter_records(vcf.parse(lines, header).drop("record_id"), **options)
+    out = filter_records(vcf.parse(lines, header, numbered=False), **options)
     if classes:
         out = select_classes(out, classes, per_allele, tuple(header.samples))
     return out
