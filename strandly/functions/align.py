@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..workers import ship
+
 #: Scores of the local alignment, the flank on either side, and how many allele lengths an indel
 #: may move (fixed values).
 MATCH, MISMATCH, OPEN, EXTEND = 10.0, -9.0, 15.0, 6.66
@@ -125,6 +127,7 @@ def consistent(cls: str, cigar: str) -> bool:
 
 def left_aligned(alleles: DataFrame, left: str = "left") -> DataFrame:
     """Alleles (npos, nref, nalt, ...) with a column of reference bases before them, left-aligned."""
+    ship(alleles.sparkSession)
     columns = [c for c in alleles.columns if c != left]
     schema = alleles.select(columns).schema
 
@@ -138,6 +141,7 @@ def left_aligned(alleles: DataFrame, left: str = "left") -> DataFrame:
 
 def aligned(alleles: DataFrame, before: str = "before", after: str = "after") -> DataFrame:
     """Alleles with score, cigar and whether the cigar fits their class."""
+    ship(alleles.sparkSession)
     schema = StructType(list(alleles.schema.fields)).add("score", "double").add("cigar", "string").add("consistent", "boolean")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .functions import align
 from .functions.alleles import CHANGES
 from .operators import alleles, distributions, filters, intervals, joins, stats, validate
+from .workers import ship
 
 OPERATORS: dict[str, Callable] = {
     f"{m.__name__.rpartition('.')[2]}.{n}": f
@@ -24,6 +25,7 @@ def register(spark: SparkSession) -> list[str]:
     """Makes SQL functions of this session: allele_trim(pos, ref, alt), base_change tests
     is_ts/is_tv/is_deam/is_am(ref, alt), genotype_count(n_alt, ploidy), left_align(pos, ref, alt,
     left) and sw_cigar(ref, alt, before, after). Returns their names."""
+    ship(spark)
     names = []
     for kind, pairs in CHANGES.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION is_{kind}(r STRING, a STRING) RETURNS BOOLEAN RETURN concat(upper(r), upper(a)) IN ({', '.join(map(repr, pairs))})")

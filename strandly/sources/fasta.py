@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..workers import ship
+
 CHUNK = 1 << 16
 
 
@@ -48,6 +50,7 @@ def index(spark: SparkSession, path: str) -> DataFrame:
                     at += len(part) + 1
             yield pd.DataFrame(out, columns=["name", "length", "offset", "line_bases", "line_bytes", "ok"])
 
+    ship(spark)
     rows = spark.read.format("binaryFile").load(path).select("content").mapInPandas(scan, "name string, length long, offset long, line_bases long, line_bytes long, ok boolean")
     return rows.orderBy("offset")
 
