@@ -19,6 +19,7 @@ SPACE_RE = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Most ids that are broadcast (8 bytes each); above it the same join goes through a shuffle.
 BROADCAST_IDS = 2_000_000
+ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -29,12 +30,14 @@ def prepare(spark: SparkSession) -> None:
     """Makes checkpoint() and Python workers usable.
 
     The cluster's spark.checkpoint.dir is taken as it is; only where it is unset (tests, local
-    runs) a folder of this process is made. Workers get this checkout on their import path."""
+    runs) a folder of this process is made. Arrow batches hold fewer rows than by default. Workers get this checkout on their import path."""
     sc = spark.sparkContext
     if not sc.getConf().get("spark.checkpoint.dir") and sc.getCheckpointDir() is None:
         path = tempfile.mkdtemp(prefix="strandly-checkpoint-")
         atexit.register(shutil.rmtree, path, True)
         sc.setCheckpointDir(path)
+    if spark.conf.get(ROWS) == "10000":  # Spark's default; whole texts need smaller batches
+        spark.conf.set(ROWS, "1000")
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     paths = [p for p in sc.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:

@@ -23,7 +23,7 @@ from .components import Sets, components
 #: Frequent shingles kept apart: most of a task, and of all tasks (8 bytes each).
 TASK_HOT, HOT = 4096, 65_536
 #: Shingles that a bucket or a cell in one task holds on average; pivots of a round.
-BUCKET, CELL, PIVOTS, LEAF = 2_000_000, 4_000_000, 16, 48
+BUCKET, CELL, PIVOTS, LEAF = 1_000_000, 2_000_000, 16, 48
 
 U64 = np.uint64
 #: Stands for a null id inside.
@@ -44,7 +44,7 @@ def _mixed(a: np.ndarray) -> np.ndarray:
 def shingle_sets(given: list[str], size: int) -> list[np.ndarray]:
     """Of each text its distinct shingles as sorted 64-bit hashes: `size` words each, A-Z lowered,
     words between ASCII white space; all words as one shingle of a shorter text; none without words."""
-    if len(_words) > 500_000:
+    if len(_words) > 150_000:
         _words.clear()
     out = []
     known = _words
@@ -96,7 +96,7 @@ def _scan(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
                 order = order[count[order] > 0]
                 top, count = top[order], count[order]
 
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", 3_000_000):
             sets = shingle_sets(texts(part, "text"), size)
             keys = [_key(s) for s in sets]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), pa.array([False] * len(keys))], names=["id", "n", "key", "hot"])
@@ -104,7 +104,7 @@ def _scan(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
                 if key not in seen:
                     seen.add(key)
                     pending.append(s)
-            if sum(map(len, pending)) > 2_000_000:
+            if sum(map(len, pending)) > 1_000_000:
                 merge()
         if pending:
             merge()
@@ -209,7 +209,7 @@ def survivors(rows: DataFrame, hot: Broadcast, size: int, t: tuple[int, int], to
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, names, numbers, held, seen = [], [], [], 0, set()
         table = hot.value
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", 3_000_000):
             for s in shingle_sets(texts(part, "text"), size):
                 key = _key(s)
                 if not len(s) or key in seen:
@@ -504,8 +504,8 @@ def jaccard_join(docs: DataFrame, threshold: tuple[int, int] = (75, 100), size:
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("text"))
     scanned = cut(rows.mapInArrow(_scan(size), "id long, n long, key long, hot boolean"))
     all_docs = scanned.filter("not hot").select("id", "n", "key")
-    frequent = scanned.filter("hot").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(HOT).toPandas()
-    hot = spark.sparkContext.broadcast(np.sort(frequent["key"].to_numpy(np.int64).view(U64)))
+    frequent = scanned.filter("hot").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(HOT).toArrow()
+    hot = spark.sparkContext.broadcast(np.sort(frequent["key"].to_numpy().astype(np.int64).view(U64)))
     named = F.when(F.col("id") != NO_ID, F.col("id"))
     classes = cut(all_docs.filter("n > 0").groupBy("key").agg(F.min(named).alias("rep"), F.max("n").alias("n")))
     total = classes.agg(F.sum("n")).first()[0] or 0
