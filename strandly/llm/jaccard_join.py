@@ -464,7 +464,7 @@ def split_cells(members: DataFrame, sizes: DataFrame, t: tuple[int, int], most:
         done = here.select("cell", "salt", "key", "members").groupBy("cell", "salt").cogroup(first.groupBy("cell", "salt")).applyInArrow(_far_and_near(t), "cell long, key long, pivot long, link boolean, d double, home boolean")
         done = cut(done)
         links.append(done.filter("link").select(F.col("key").alias("a"), F.col("pivot").alias("b")))
-        label = components(links[0] if len(links) == 1 else links[0].unionAll(links[-1]) if len(links) == 2 else _union(links)).withColumnsRenamed({"a": "key", "b": "root"})
+        label = components(_union(links)).withColumnsRenamed({"a": "key", "b": "root"})
         reach = done.filter("home and pivot is not null").groupBy("cell", "pivot").agg(F.max("d").alias("radius"))
         tops = first.select("key").distinct()
         regions = done.join(reach, ["cell", "pivot"], "left").filter(F.col("home") | (F.col("d") <= F.col("radius") + (1 - t[0] / t[1]) + 1e-12))

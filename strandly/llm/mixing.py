@@ -12,6 +12,8 @@ from .common import cut, words
 LEVELS = ["domain", "lang", "source"]
 #: Parts of the order of a leaf's epoch that are summed before any row is ranked.
 PARTS = 4096
+#: Most leaves whose plan is broadcast; above it the same joins shuffle.
+LEAVES = 100_000
 UNKNOWN = "?"
 
 
@@ -89,7 +91,8 @@ def plan(rows: DataFrame, targets: Targets) -> DataFrame:
         full = min(targets.epochs, int(budget // n)) if n else 0
         todo.append((*leaf, full, int(round(budget - full * n)) if full < targets.epochs else 0))
     leaves = cut(spark.createDataFrame(todo, "domain string, lang string, source string, full int, rest long"))
-    hashed = rows.join(F.broadcast(leaves), LEVELS).filter("rest > 0").withColumn("h", F.xxhash64(F.lit(targets.seed), F.col("full"), F.col("id")))
+    sent = F.broadcast if len(todo) <= LEAVES else lambda df: df
+    hashed = rows.join(sent(leaves), LEVELS).filter("rest > 0").withColumn("h", F.xxhash64(F.lit(targets.seed), F.col("full"), F.col("id")))
     hashed = hashed.withColumn("part", F.shiftrightunsigned("h", 52).cast("int"))
     sums = hashed.groupBy(*LEVELS, "rest", "part").agg(F.sum("n").alias("n"), F.max(F.struct(F.shiftrightunsigned("h", 1).alias("o"), "h", "id")).alias("end"))
     running = Window.partitionBy(LEVELS).orderBy("part")
@@ -97,7 +100,7 @@ def plan(rows: DataFrame, targets: Targets) -> DataFrame:
     whole = sums.filter("upto <= rest").groupBy(LEVELS).agg(F.max("end").alias("whole_end"))
     edge = sums.filter("upto > rest and upto - n < rest").select(*LEVELS, "part", (F.col("upto") - F.col("n")).alias("before"))
     place = F.struct(F.shiftrightunsigned("h", 1).alias("o"), "h", "id")
-    ranked = hashed.join(F.broadcast(edge), [*LEVELS, "part"]).withColumn("end", place)
+    ranked = hashed.join(sent(edge), [*LEVELS, "part"]).withColumn("end", place)
     ranked = ranked.withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy(LEVELS).orderBy("end")))
     part = ranked.filter("upto <= rest").groupBy(LEVELS).agg(F.max("end").alias("part_end"))
     out = leaves.join(whole, LEVELS, "left").join(part, LEVELS, "left")
@@ -118,7 +121,7 @@ def mix(docs: DataFrame, targets: Targets, domain: Column, tokens: Column | None
     ends = plan(rows, targets).withColumnsRenamed({"domain": "__k0", "lang": "__k1", "source": "__k2", "full": "__full", "end": "__end"})
     keyed = docs.select(*[F.col(c) for c in docs.columns if c not in ("domain", "epoch", "n_tokens")], *[x.alias(f"__k{i}") for i, x in enumerate(leaf)], leaf[0], measure.alias("n_tokens"))
     on = ["__k0", "__k1", "__k2"]
-    keyed = keyed.join(F.broadcast(ends), on)
+    keyed = keyed.join(F.broadcast(ends) if ends.limit(LEAVES + 1).count() <= LEAVES else ends, on)
     hashed = F.xxhash64(F.lit(targets.seed), F.col("__full"), F.coalesce(F.col(id_col).cast("long"), F.lit(-1)))
     place = F.struct(F.shiftrightunsigned(hashed, 1).alias("o"), hashed.alias("h"), F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("id"))
     times = F.col("__full") + F.coalesce((place <= F.col("__end")).cast("int"), F.lit(0))
