@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -233,8 +234,11 @@ def classify(
     counted = rows.select("lang", "use", "text").mapInArrow(_count, "lang string, gram long, n long, c long")
     table = cut(counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum("c").alias("c")))
     scores = model_scores(table)
-    top = scores.orderBy(F.desc("n"), "lang", "gram").limit(head).toPandas()
-    by_lang = {lang: (g["gram"].to_numpy(np.int64), g["logp"].to_numpy(np.float64)) for lang, g in top.groupby("lang")}
+    top = scores.orderBy(F.desc("n"), "lang", "gram").limit(head).select("lang", "gram", "logp").toArrow()
+    by_lang = {}
+    for lang in pc.unique(top["lang"]).to_pylist():
+        own = top.filter(pc.equal(top["lang"], lang))
+        by_lang[lang] = (own["gram"].to_numpy(), own["logp"].to_numpy())
     sent = spark.sparkContext.broadcast(by_lang)
     schema = rows.select("id", "lang", "use").schema
     for field in spark.createDataFrame([], "units long, head double, rest array<struct<gram:bigint,c:bigint>>").schema:
