@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, UPPER, cut, let
+from .common import LOWER, SPACE, UPPER, cut, fresh, let
 
 
 def _lines(text: Column) -> Column:
@@ -40,7 +40,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 10, min_docs: int = 2, id_col:
         held = held.filter("lo < hi or (lo is not null and unnamed)")
     else:
         held = rows.groupBy("h1", "h2", "d").agg(F.lit(1)).groupBy("h1", "h2").agg(F.min("d").alias("lo"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs)
-    held = cut(held.select("h1", "h2", "lo")).repartition("h1", "h2")
+    held = fresh(cut(held.select("h1", "h2", "lo")), "h1", "h2")
     gone = rows.join(held.hint("merge"), ["h1", "h2"]).filter(~F.col("d").eqNullSafe(F.col("lo")))
     gone = gone.groupBy("d", "t").agg(F.collect_set("pos").alias("__gone"))
     left, right = docs.withColumn("__t", mark), gone.withColumnsRenamed({"d": "__d", "t": "__u"})
