@@ -447,7 +447,7 @@ def split_cells(members: DataFrame, sizes: DataFrame, t: tuple[int, int], most:
     """Cells of more than `most` shingles, split by rounds of pivots into smaller ones.
 
     A round samples pivots in each large cell, deals the cell's rows by a salt, and compares every
-    row with every pivot: that finds all links of the pivots, which leave. Rows go to the region
+    row with every pivot: that finds all links of the pivots in that cell, which they leave. Rows go to the region
     of their nearest pivot (within 2 r) or to the far region, and into other regions as far as
     the windows of the triangle inequality reach. Regions whose rows links connect already are
     done. Returns (cell, key) of the small cells left, and the links found."""
@@ -466,9 +466,9 @@ def split_cells(members: DataFrame, sizes: DataFrame, t: tuple[int, int], most:
         links.append(done.filter("link").select(F.col("key").alias("a"), F.col("pivot").alias("b")))
         label = components(_union(links)).withColumnsRenamed({"a": "key", "b": "root"})
         reach = done.filter("home and pivot is not null").groupBy("cell", "pivot").agg(F.max("d").alias("radius"))
-        tops = first.select("key").distinct()
+        tops = first.select("cell", "key").distinct()  # in another cell a pivot has links that are still to be found
         regions = done.join(reach, ["cell", "pivot"], "left").filter(F.col("home") | (F.col("d") <= F.col("radius") + (1 - t[0] / t[1]) + 1e-12))
-        regions = regions.join(tops, "key", "left_anti").select(F.xxhash64("cell", F.coalesce("pivot", F.lit(0)), F.lit(turn)).alias("cell"), "key").distinct()
+        regions = regions.join(tops, ["cell", "key"], "left_anti").select(F.xxhash64("cell", F.coalesce("pivot", F.lit(0)), F.lit(turn)).alias("cell"), "key").distinct()
         regions = regions.join(label, "key", "left").withColumn("root", F.coalesce("root", "key"))
         several = regions.groupBy("cell").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("cell")
         regions = regions.join(several, "cell", "left_semi").select("cell", "key")

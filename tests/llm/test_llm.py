@@ -290,6 +290,38 @@ def test_jaccard_cells_are_exact():
         assert [cell.sets.root(i) for i in range(len(sets))] == [plain.sets.root(i) for i in range(len(sets))], turn
 
 
+def test_split_cells_keep_pivots_of_other_cells(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "PIVOTS", 4)
+    r = random.Random(0)
+    starts = [0]
+    for _ in range(59):  # a chain: windows of regions overlap, and rounds follow one another
+        starts.append(starts[-1] + r.choice((3, 4, 5, 5, 5)))
+    r.shuffle(starts)
+    sets = [set(range(a, a + 36)) for a in starts]
+    members = spark.createDataFrame([(1, k, sorted(s)) for k, s in enumerate(sets)], "cell long, key long, members array<bigint>")
+    sizes = spark.createDataFrame([(1, len(sets), 36 * len(sets))], "cell long, rows long, total long")
+    left, links = jaccard_join.split_cells(members, sizes, (75, 100), 200)
+    assert len(links) > 2
+    parent = list(range(len(sets)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for x in jaccard_join._union(links).collect():
+        parent[root(x["a"])] = root(x["b"])
+    cells = defaultdict(set)
+    for x in left.collect():
+        cells[x["cell"]].add(x["key"])
+    for own in cells.values():
+        for a in own:
+            for b in own:
+                if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                    parent[root(a)] = root(b)
+    assert len({root(i) for i in range(len(sets))}) == 1
+
+
 def test_components(spark):
     r = random.Random(9)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(70)] + [(5000, 5001 + i) for i in range(200)]
