@@ -23,6 +23,16 @@ BOS, EOS = 2, 3
 HEAD = 262_144
 #: Width of the bins of log-perplexity whose counts give the quantiles, and the most bins.
 WIDTH, MOST_BINS = 0.001, 40_000
+#: Words of a stretch in which repeated ones are counted.
+STRETCH = 50
+
+
+def repeated(text: str) -> float:
+    """The share of words that their stretch of STRETCH words already holds; 0 without words."""
+    found = text.split()
+    if not found:
+        return 0.0
+    return 1 - sum(len(set(found[i : i + STRETCH])) for i in range(0, len(found), STRETCH)) / len(found)
 
 
 def grams(given: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -155,7 +165,7 @@ def model_scores(table: DataFrame) -> DataFrame:
 
 
 def _score(head: Broadcast, keep: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Per document: units scored, the sum of head scores, and the other grams with their counts."""
+    """Per document: units scored, the sum of head scores, its share of repeated words, and the other grams with their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = {lang: Lookup(k, v) for lang, (k, v) in head.value.items()}
@@ -175,7 +185,7 @@ def _score(head: Broadcast, keep: list[str]) -> Callable[[Iterator[pa.RecordBatc
                 for i, at in zip(*_runs(owner[missed]), strict=True):
                     k, c = np.unique(keys[missed[at]], return_counts=True)
                     rest[i] = [{"gram": int(a), "c": int(b)} for a, b in zip(k, c, strict=True)]
-            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(sizes), pa.array(sums), pa.array(rest, kind)], names=[*keep, "units", "head", "rest"])
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(sizes), pa.array(sums), pa.array([repeated(t) for t in given], pa.float64()), pa.array(rest, kind)], names=[*keep, "units", "head", "same", "rest"])
 
     return run
 
@@ -188,37 +198,40 @@ def _runs(owner: np.ndarray) -> tuple[list[int], list[slice]]:
     return [int(owner[s]) for s in starts], [slice(int(a), int(b)) for a, b in zip(starts, [*starts[1:], len(owner)], strict=True)]
 
 
-def thresholds(rows: DataFrame, q: float, slack: float, least: int) -> DataFrame:
-    """(lang, hi): the highest log-perplexity that stays, for each language of rows (lang, use, x).
-
-    The quantiles one half and q are those of trusted documents that the model was not trained on,
-    from exact counts of bins; the bound lies `slack` times as far from the middle as q does. A
-    language with fewer than `least` such documents takes those of all languages; with none at
-    all nothing is rejected."""
-    bins = F.least(F.floor(F.col("x") / WIDTH), F.lit(MOST_BINS)).cast("int")
-    counted = rows.filter("use = 2").groupBy("lang", bins.alias("b")).count()
-    both = cut(counted.unionAll(counted.groupBy(F.lit("*").alias("lang"), "b").agg(F.sum("count"))))
-    by = Window.partitionBy("lang")
-    upto = both.select("lang", "b", F.sum("count").over(by.orderBy("b")).alias("upto"), F.sum("count").over(by).alias("all"))
-    at = lambda s: F.min(F.when(F.col("upto") >= F.lit(s) * F.col("all"), F.col("b"))) * WIDTH
-    found = upto.groupBy("lang").agg(F.max("all").alias("n"), at(0.5).alias("m"), (at(q) + WIDTH).alias("z"))
-    found = {r["lang"]: r for r in found.collect()}  # a row for each language
+def thresholds(rows: DataFrame, q: float, least: int) -> DataFrame:
+    """(lang, hi, most): the highest log-perplexity and the highest share of repeated words that
+    stay, for each language of rows (lang, use, x, same).
+
+    The first is the quantile q of trusted documents that the model was not trained on, the second
+    that of all trusted documents (nothing is trained on it), from exact counts of bins. A language with fewer than `least` such documents takes those of all
+    languages; with none at all nothing is rejected."""
+    bins = lambda c: F.least(F.floor(F.col(c) / WIDTH), F.lit(MOST_BINS)).cast("int")
+    both = F.explode(F.array(*[F.struct(F.lit(c).alias("what"), bins(c).alias("b")) for c in ("x", "same")])).alias("v")
+    counted = rows.filter("use > 0").select("lang", "use", both).filter("use = 2 OR v.what = 'same'").groupBy("lang", "v.what", "v.b").count()
+    both = cut(counted.unionAll(counted.groupBy(F.lit("*").alias("lang"), "what", "b").agg(F.sum("count"))))
+    by = Window.partitionBy("lang", "what")
+    upto = both.select("lang", "what", "b", F.sum("count").over(by.orderBy("b")).alias("upto"), F.sum("count").over(by).alias("all"))
+    at = F.min(F.when(F.col("upto") >= F.lit(q) * F.col("all"), F.col("b"))) * WIDTH + WIDTH
+    found = upto.groupBy("lang", "what").agg(F.max("all").alias("n"), at.alias("z"))
+    found = {(r["lang"], r["what"]): r for r in found.collect()}  # two rows for each language
     names = [r["lang"] for r in rows.select("lang").distinct().collect()]
-    out = []
-    for name in names:
-        r = found.get(name)
-        r = r if r is not None and r["n"] >= least else found.get("*")
-        out.append((name, r["m"] + slack * (r["z"] - r["m"]) if r else float("inf")))
-    return rows.sparkSession.createDataFrame(out, "lang string, hi double")
+
+    def bound(name: str, what: str) -> float:
+        r = found.get((name, what))
+        r = r if r is not None and r["n"] >= least else found.get(("*", what))
+        return r["z"] if r else float("inf")
+
+    return rows.sparkSession.createDataFrame([(name, bound(name, "x"), bound(name, "same")) for name in names], "lang string, hi double, most double")
 
 
 def classify(
-    docs: DataFrame, trusted: DataFrame, q: float = 0.99, slack: float = 1.5, least: int = 30, head: int = HEAD, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
+    docs: DataFrame, trusted: DataFrame, q: float = 0.99, least: int = 30, head: int = HEAD, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
 ) -> DataFrame:
     """One row per input row: id, lang, n_units, perplexity, kept.
 
     A model per language is trained on half of the trusted documents (by a hash of the id); the
-    other half sets the bounds, see `thresholds`. kept means a perplexity up to the bound.
+    other half sets the bounds, see `thresholds`. kept means a perplexity and a share of
+    repeated words up to the bounds: four characters do not see that words come again.
     Perplexity is per UTF-16 unit and the end mark. Null or empty text has none and is not kept;
     null language is "?". Rows that repeat an id are scored one by one; other columns are not
     read. Empty tables give no rows.
@@ -241,13 +254,13 @@ def classify(
         by_lang[lang] = (own["gram"].to_numpy(), own["logp"].to_numpy())
     sent = spark.sparkContext.broadcast(by_lang)
     schema = rows.select("id", "lang", "use").schema
-    for field in spark.createDataFrame([], "units long, head double, rest array<struct<gram:bigint,c:bigint>>").schema:
+    for field in spark.createDataFrame([], "units long, head double, same double, rest array<struct<gram:bigint,c:bigint>>").schema:
         schema = schema.add(field)
     done = cut(rows.mapInArrow(_score(sent, ["id", "lang", "use"]), schema).withColumn("rid", F.monotonically_increasing_id()))
     rest = done.select("rid", "lang", F.explode("rest").alias("r")).select("rid", "lang", "r.gram", "r.c")
     rest = rest.join(scores.select("lang", "gram", "logp"), ["lang", "gram"]).groupBy("rid").agg(F.sum(F.col("c") * F.col("logp")).alias("tail"))
     done = done.join(rest, "rid", "left").withColumn("x", -(F.col("head") + F.coalesce("tail", F.lit(0.0))) / F.nullif(F.col("units"), F.lit(0)))
-    done = cut(done.select("id", "lang", "use", "units", "x"))
-    bounds = thresholds(done, q, slack, least)
-    kept = F.coalesce(F.col("x") <= F.col("hi"), F.lit(False))
+    done = cut(done.select("id", "lang", "use", "units", "x", "same"))
+    bounds = thresholds(done, q, least)
+    kept = F.coalesce((F.col("x") <= F.col("hi")) & (F.col("same") <= F.col("most")), F.lit(False))
     return done.join(F.broadcast(bounds), "lang").select(F.col("id").alias(id_col), "lang", F.col("units").alias("n_units"), F.exp("x").alias("perplexity"), kept.alias("kept"))

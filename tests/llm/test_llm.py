@@ -395,6 +395,13 @@ def test_classifier_on_odd_rows_and_labels(spark, small):
     assert done[(done.quality == 1) & (done.toxic == 0)].kept.mean() > 0.95
 
 
+def test_classifier_drops_low_quality(spark, small):
+    labels = spark.read.parquet(f"{small}/labels.parquet")
+    done = queries.op8_quality_classifier(spark, small).join(labels, "doc_id").toPandas()
+    assert done[(done.quality == 0) & (done.toxic == 0)].kept.mean() < 0.1
+    assert done[(done.quality == 1) & (done.toxic == 0)].kept.mean() > 0.95
+
+
 # 9
 
 
