@@ -87,7 +87,10 @@ def _show(tables: dict[str, DataFrame], out: str | None) -> None:
         if out:
             table.write.mode("overwrite").parquet(f"{out}/{name}")
         else:
-            print(f"# {name}\n{stats.report(table)}")
+            print(f"# {name}")
+            for line in stats.report_lines(table):
+                print(line)
+            print()
 
 
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> int:
@@ -98,10 +101,13 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     spark = spark or SparkSession.builder.appName("strandly").getOrCreate()
     records, header = vcf.read(spark, o.input[0])
     wanted = [c for n, cs in CLASS_FLAGS.values() if getattr(o, f"cls_{n}", False) for c in cs]
-    per_allele = [f.id for f in header.declared("INFO") if f.number == "A"]
+    per_allele = {f.id: f.number for f in header.declared("INFO")}
+    formats = {f.id: f.number for f in header.declared("FORMAT")}
 
     def chosen(rows: DataFrame) -> DataFrame:
-        return O.select_classes(rows, wanted, per_allele, header.samples) if wanted else rows
+        if wanted == [A.SNP]:  # one-base changes alone are written at their own place
+            return O.reanchor(rows, wanted, per_allele, header.samples, formats)
+        return O.select_classes(rows, wanted, per_allele, header.samples, formats) if wanted else rows
 
     def done(rows: DataFrame, task: str) -> None:
         if o.out:
@@ -125,9 +131,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
             header.add("FILTER", f"Q{o.quality:g}", description=f"Quality below {o.quality:g}")
         if o.split_mnps:
             header.add("INFO", "FROM_MNP", "0", "Flag", "Split from a multi-base substitution")
-            keep = [c for c in rows.columns if c not in ("record_id", "chrom", "pos", "ref", "alt", "info")]
-            whole = O.with_alleles(rows).filter(~F.exists("alleles", lambda x: x["cls"] == A.MNP)).select(rows.columns)
-            rows = whole.unionByName(O.split_mnps(rows, keep).select(rows.columns))
+            rows = O.split_mnp_records(rows, per_allele, header.samples if "format" in rows.columns else [], formats)
         done(rows, "filter")
     elif o.tool == "merge":
         others = [vcf.read(spark, p, i) for i, p in enumerate(o.input[1:], 1)]
@@ -167,17 +171,17 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
             if side == "q":
                 best = joins.best_quality(a, b, ["qual", "aid"])
                 both = [(records, best.filter("source = 0")), (other, best.filter("source = 1"))]
-                done(_keep(both[0][0], both[0][1], per_allele, header.samples).unionByName(_keep(both[1][0], both[1][1], per_allele, header.samples), True), "intersect")
+                done(_keep(both[0][0], both[0][1], per_allele, header.samples, formats).unionByName(_keep(both[1][0], both[1][1], per_allele, header.samples, formats), True), "intersect")
                 return 0
             if side == "b":
                 a, b, records, other = b, a, other, records
             base = records
             if o.union:
                 every = joins.union(a, b, sites)
-                done(_keep(records, every.filter("source = 0"), per_allele, header.samples).unionByName(_keep(other, every.filter("source = 1"), per_allele, header.samples), True), "intersect")
+                done(_keep(records, every.filter("source = 0"), per_allele, header.samples, formats).unionByName(_keep(other, every.filter("source = 1"), per_allele, header.samples, formats), True), "intersect")
                 return 0
             hit = (joins.unique if o.unique else joins.common)(a, b, sites)
-        done(_keep(base, hit.filter(F.col("cls").isin(wanted)) if wanted else hit, per_allele, header.samples), f"intersect {', '.join(o.input)}")
+        done(_keep(base, hit.filter(F.col("cls").isin(wanted)) if wanted else hit, per_allele, header.samples, formats), f"intersect {', '.join(o.input)}")
     elif o.tool == "stats":
         rows = O.explode_alleles(records, ["rsid", "flt", "info", *header.samples])
         tables = {"filters": stats.by_filter(rows), "mnp_lengths": stats.mnp_lengths(rows), "indel_lengths": stats.indel_lengths(rows)}
@@ -214,12 +218,12 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     return 0
 
 
-def _keep(records: DataFrame, hit: DataFrame, per_allele: list[str], names: list[str]) -> DataFrame:
+def _keep(records: DataFrame, hit: DataFrame, per_allele: dict[str, str], names: list[str], formats: dict[str, str]) -> DataFrame:
     """Records with only the alleles of `hit`; those without one are dropped."""
     flags = hit.groupBy("record_id").agg(F.collect_set("aid").alias("__aids"))
     rows = O.with_alleles(records).join(flags, "record_id")
     rows = rows.withColumn("__keep", F.transform("alleles", lambda x: F.array_contains(F.col("__aids"), x["aid"])))
-    return O.rebuild(rows, per_allele, names).select(records.columns)
+    return O.rebuild(rows, per_allele, names, formats).select(records.columns)
 
 
 if __name__ == "__main__":

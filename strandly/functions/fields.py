@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -48,18 +48,29 @@ def with_entry(info: Column, entry: Column) -> Column:
     return F.when(info.isNull() | info.isin(".", ""), entry).otherwise(F.concat_ws(";", info, entry))
 
 
-def keep_alleles(info: Column, keep: Column, per_allele: Sequence[str]) -> Column:
+def keep_alleles(info: Column, keep: Column, per_allele: Sequence[str], with_reference: Sequence[str] = ()) -> Column:
     """INFO after alleles were removed: tags with a value for each allele (Number=A) keep those of
-    the alleles with true in `keep`; all others, and the order, stay."""
+    the alleles with true in `keep`, tags that begin with the reference (Number=R) that one as
+    well; all others, and the order, stay."""
 
     def rewrite(x: Column) -> Column:
-        own = F.split(F.split(x, "=", 2)[1], ",")
-        left = F.filter(own, lambda _, i: F.coalesce(F.get(keep, i), F.lit(False)))
-        return F.when(tag(x).isin(*per_allele) & x.contains("="), F.concat(tag(x), F.lit("="), joined(left, ","))).otherwise(x)
+        name, own = tag(x), F.split(x, "=", 2)[1]
+        out = F.when(name.isin(*per_allele) & x.contains("="), F.concat(name, F.lit("="), kept_values(own, keep, "A")))
+        if with_reference:
+            out = out.when(name.isin(*with_reference) & x.contains("="), F.concat(name, F.lit("="), kept_values(own, keep, "R")))
+        return out.otherwise(x)
 
     return joined(F.transform(entries(info), rewrite))
 
 
+def kept_values(value: Column, keep: Column, number: str) -> Column:
+    """A list of values, one for each allele (A) or the reference and each allele (R), without
+    those of removed alleles; "." stays."""
+    at = 0 if number == "A" else 1
+    own = F.filter(F.split(value, ","), lambda _, i: (i < at) | F.coalesce(F.get(keep, i - at), F.lit(False)))
+    return F.when(value == ".", value).otherwise(joined(own, ","))
+
+
 def filters(flt: Column) -> Column:
     """Names in FILTER, without "." """
     return F.filter(F.split(F.coalesce(flt, F.lit(".")), ";"), lambda x: ~x.isin(".", ""))
@@ -72,7 +83,7 @@ def gt(sample: Column) -> Column:
 
 def gt_alleles(genotype: Column) -> Column:
     """Alleles as texts, "." for missing ones."""
-    return F.split(genotype, "[/|]")
+    return F.split(F.translate(genotype, "|", "/"), "/")
 
 
 def phased(genotype: Column) -> Column:
@@ -96,17 +107,49 @@ def zygosity(genotype: Column) -> Column:
     return let(gt_alleles(genotype), of)
 
 
+def numbers(keep: Column) -> Column:
+    """Of each allele its number, as text, after those with false in `keep` were removed; "." for these."""
+    return F.transform(keep, lambda k, i: F.when(k, F.size(F.filter(F.slice(keep, 1, i + 1), lambda x: x)).cast("string")).otherwise("."))
+
+
 def renumbered(genotype: Column, keep: Column) -> Column:
     """The genotype after alleles were removed: survivors are numbered anew, removed ones become
     "."; reference, missing alleles and the separators stay."""
-    pieces = F.split(genotype, r"(?<=[/|])|(?=[/|])")
+    return with_numbers(genotype, numbers(keep))
+
+
+def with_numbers(genotype: Column, new: Column) -> Column:
+    """The genotype with the numbers of `new` (see `numbers`) for its alleles."""
 
     def one(x: Column) -> Column:
         at = x.try_cast("int")
-        new = F.size(F.filter(F.slice(keep, 1, F.greatest(at, F.lit(1))), lambda k: k))
-        return F.when(at.isNull() | (at == 0), x).when(F.coalesce(F.get(keep, at - 1), F.lit(False)), new.cast("string")).otherwise(".")
-
-    return F.array_join(F.transform(pieces, one), "")
+        return F.when(at.isNull() | (at == 0), x).otherwise(F.coalesce(F.get(new, at - 1), F.lit(".")))
+
+    plain = lambda mark, pattern: F.array_join(F.transform(F.split(genotype, pattern), one), mark)
+    mixed = F.array_join(F.transform(F.split(genotype, r"(?<=[/|])|(?=[/|])"), one), "")
+    return F.when(~genotype.contains("|"), plain("/", "/")).when(~genotype.contains("/"), plain("|", r"\|")).otherwise(mixed)
+
+
+def sample_kept(sample: Column, format_: Column, new: Column, keep: Column, numbers_: Mapping[str, str]) -> Column:
+    """A sample after alleles were removed: GT, the first field, is numbered anew; of the fields in
+    `numbers_` those with a value for each allele (A, R) keep those of the alleles that stay, and
+    those with one for each genotype (G) become "."."""
+    if not numbers_:
+        return F.concat_ws(":", with_numbers(gt(sample), new), F.get(F.split(sample, ":", 2), F.lit(1)))
+    of = lambda number: [k for k, n in numbers_.items() if n == number]
+    names = F.split(format_, ":")
+
+    def one(value: Column, i: Column) -> Column:
+        name = F.get(names, i)
+        out = F.when(name == "GT", with_numbers(value, new))
+        for number in ("A", "R"):
+            if of(number):
+                out = out.when(name.isin(*of(number)), kept_values(value, keep, number))
+        if of("G"):
+            out = out.when(name.isin(*of("G")), F.lit("."))
+        return out.otherwise(value)
+
+    return F.array_join(F.transform(F.split(sample, ":"), one), ":")
 
 
 def field_of(sample: Column, format_: Column, name: str) -> Column:

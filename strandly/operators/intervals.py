@@ -17,10 +17,6 @@ def with_end(alleles: DataFrame) -> DataFrame:
     return alleles.withColumn("epos", F.col("npos") + F.greatest(F.length("nref"), F.length("nalt")) - 1)
 
 
-def _hit(within: bool) -> Column:
-    return (F.col("npos") >= F.col("s")) & (F.col("epos") <= F.col("e")) if within else (F.col("npos") <= F.col("e")) & (F.col("epos") >= F.col("s"))
-
-
 def _bins(lo: Column, hi: Column, width: int) -> Column:
     return F.explode(F.sequence(F.floor(lo / width), F.floor(hi / width)))
 
@@ -30,27 +26,44 @@ def interval_join(alleles: DataFrame, intervals: DataFrame, within: bool = False
     per pair with the interval's `columns`.
 
     Alleles of at most one bin are keyed by the bin of their start; intervals take the bins they
-    cover and the one before, so each pair meets once and nothing is made distinct. Longer alleles
-    take all their bins and meet an interval in the first bin that both cover."""
+    cover and the one before, so each pair meets once and nothing is made distinct. An interval
+    that holds an allele covers its start, so `within` needs no other bin. Longer alleles take all
+    their bins and meet an interval in the first bin that both cover. One pass over each side."""
+    a, own, on = _binned(alleles, intervals, within, columns, width)
+    out = [F.col(f"a.{c}") for c in alleles.columns]
+    if how == "inner":
+        return a.join(own, on, how).select(*out, *[F.col(f"b.{c}") for c in columns])
+    hit = a.join(own, on, "left_semi").select(*out)
+    return hit if within else hit.dropDuplicates(["record_id", "aid"])
+
+
+def _binned(alleles: DataFrame, intervals: DataFrame, within: bool, columns: tuple[str, ...], width: int) -> tuple[DataFrame, DataFrame, Column]:
+    """Alleles "a" with a row for each bin they are looked up in and the number of these, intervals
+    "b" with one for each bin they are found in, and when they meet."""
+    first = F.floor(F.col("npos") / width)
     a = with_end(alleles)
-    short = a.filter(F.col("epos") - F.col("npos") < width).withColumn("bin", F.floor(F.col("npos") / width))
-    wide = a.filter(F.col("epos") - F.col("npos") >= width).withColumn("bin", _bins(F.col("npos"), F.col("epos"), width))
-    own = intervals.select(F.col("chrom"), "s", "e", *columns)
-    near = own.withColumn("bin", _bins(F.col("s") - width, F.col("e"), width))
-    far = own.withColumn("bin", _bins(F.col("s"), F.col("e"), width))
-    cond = lambda x, y: (x["chrom"] == y["chrom"]) & (x["bin"] == y["bin"]) & _hit(within)
-    out = [*alleles.columns, *(columns if how == "inner" else ())]
-    pick = lambda x, y: [x[c] for c in alleles.columns] + ([y[c] for c in columns] if how == "inner" else [])
-    first = short.join(near, cond(short, near), how).select(pick(short, near))
-    at = F.floor(F.greatest(F.col("npos"), F.col("s")) / width)
-    pairs = wide.join(far, cond(wide, far), "inner").filter(wide["bin"] == at).select(pick(wide, far))
-    return first.unionAll(pairs.select(out) if how == "inner" else pairs.dropDuplicates(["record_id", "aid"]))
-
-
-def outside(alleles: DataFrame, intervals: DataFrame, within: bool = False) -> DataFrame:
-    """Alleles that no interval meets."""
-    hit = interval_join(alleles, intervals, within).select("record_id", "aid")
-    return alleles.join(hit, ["record_id", "aid"], "left_anti")
+    if within:
+        a = a.withColumn("bin", first).withColumn("bins", F.lit(1).cast("long"))
+    else:
+        last = F.when(F.col("epos") - F.col("npos") < width, first).otherwise(F.floor(F.col("epos") / width))
+        a = a.withColumn("bins", last - first + 1).withColumn("bin", F.explode_outer(F.sequence(first, last)))
+    own = intervals.select("chrom", "s", "e", *columns).withColumn("bin", _bins(F.col("s") - (0 if within else width), F.col("e"), width))
+    hit = (F.col("a.npos") >= F.col("b.s")) & (F.col("a.epos") <= F.col("b.e")) if within else (F.col("a.npos") <= F.col("b.e")) & (F.col("a.epos") >= F.col("b.s"))
+    once = (F.col("a.bins") == 1) | (F.col("a.bin") == F.floor(F.greatest("a.npos", "b.s") / width))
+    return a.alias("a"), own.alias("b"), (F.col("a.chrom") == F.col("b.chrom")) & (F.col("a.bin") == F.col("b.bin")) & hit & once
+
+
+def outside(alleles: DataFrame, intervals: DataFrame, within: bool = False, width: int = BIN) -> DataFrame:
+    """Alleles that no interval meets, by one anti join on the bins. An allele of several bins is
+    outside if none of them has a hit; for others nothing is counted across rows."""
+    a, own, on = _binned(alleles, intervals, within, (), width)
+    left = a.join(own, on, "left_anti")
+    if within:
+        return left.select(alleles.columns)
+    keys = [c for c in alleles.columns if c in ("record_id", "aid")]
+    rest = [c for c in alleles.columns if c not in keys]
+    left = left.groupBy(*keys, "bins").agg(F.count(F.lit(1)).alias("free"), *[F.any_value(c).alias(c) for c in rest]).filter("free = bins")
+    return left.select(alleles.columns)
 
 
 def annotate_intervals(records: DataFrame, alleles: DataFrame, intervals: DataFrame, within: bool = False) -> DataFrame:

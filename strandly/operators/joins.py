@@ -26,11 +26,14 @@ def common(a: DataFrame, b: DataFrame, sites_only: bool = False) -> DataFrame:
 
 
 def unique(a: DataFrame, b: DataFrame, sites_only: bool = False) -> DataFrame:
-    """Alleles of a without a match in b."""
-    on = _keys(sites_only)
-    plain = a.filter(~F.col("cls").isin(*_LOOSE)).join(b.select(on), on, "left_anti")
-    loose = a.filter(F.col("cls").isin(*_LOOSE)).join(b.select("chrom", "npos"), ["chrom", "npos"], "left_anti")
-    return plain.unionByName(loose.select(plain.columns))
+    """Alleles of a without a match in b. One anti join by place: there, structural alleles and
+    rearrangements match any allele, others one of their class and bases."""
+    loose = F.col("a.cls").isin(*_LOOSE)
+    same = F.lit(True)
+    for c in _keys(sites_only)[2:]:
+        same = same & (F.col(f"a.{c}") == F.col(f"b.{c}"))
+    on = (F.col("a.chrom") == F.col("b.chrom")) & (F.col("a.npos") == F.col("b.npos")) & (loose | same)
+    return a.alias("a").join(b.select(*KEY).alias("b"), on, "left_anti")
 
 
 def union(a: DataFrame, b: DataFrame, sites_only: bool = False) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -173,9 +173,13 @@ def annotation_counts(alleles: DataFrame, names: Sequence[str] | None = None) ->
     return out.withColumn("tstv", ratio(F.col("ts"), F.col("tv")))
 
 
-def report(table: DataFrame, width: int = 14, most: int = 10_000) -> str:
-    """A fixed-width text of a small table, for printing (a display limit, not part of a result)."""
-    rows = table.limit(most).collect()
-    lines = ["".join(f"{c:>{width}}" for c in table.columns)]
-    lines += ["".join(f"{'' if v is None else f'{v:.4f}' if isinstance(v, float) else v!s:>{width}}" for v in r) for r in rows]
-    return "\n".join(lines) + "\n"
+def report(table: DataFrame, width: int = 14) -> str:
+    """A fixed-width text of a whole table; see `report_lines` for large ones."""
+    return "\n".join(report_lines(table, width)) + "\n"
+
+
+def report_lines(table: DataFrame, width: int = 14) -> Iterator[str]:
+    """The lines of such a text, for printing: all rows, brought to the driver a partition at a time."""
+    yield "".join(f"{c:>{width}}" for c in table.columns)
+    for r in table.toLocalIterator():
+        yield "".join(f"{'' if v is None else f'{v:.4f}' if isinstance(v, float) else v!s:>{width}}" for v in r)

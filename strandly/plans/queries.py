@@ -75,7 +75,7 @@ def filter_class_indel(spark, d):
 
 @query
 def filter_snp_reanchor(spark, d):
-    return O.reanchor(variants(spark, d))
+    return O.reanchor(variants(spark, d), per_allele=PER_ALLELE, genotypes=SAMPLES).select("record_id", "chrom", "pos", "ref", "alt")
 
 
 @query

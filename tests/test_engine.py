@@ -122,11 +122,37 @@ def test_alleles_removed(calls):
     assert got[5] == ("GGT", "AC=4;PL=1.5,2", "1/.:40", "0/1:40")
     assert got[20] == ("C,G", "AC=1,2;DP=7", "1|2:30", ".")
     assert set(got) == {10, 20, 30, 5}
-    assert [tuple(x)[2:] for x in O.reanchor(records).collect()] == [(10, "A", "G"), (20, "A", "C,G"), (32, "G", "T"), (5, "A", "G")]
+    anchored = O.reanchor(records, per_allele=["AC"], genotypes=header.samples)
+    assert anchored.columns == records.columns
+    assert [tuple(x) for x in anchored.select("pos", "ref", "alt", "info", "NA1").collect()] == [
+        (10, "A", "G", "DP=5;AC=1;DB", "0/1:30"), (20, "A", "C,G", "AC=1,2;DP=7", "1|2:30"), (32, "G", "T", "DP=9", "0/0:30"), (5, "A", "G", "AC=4;PL=1.5,2", "1/.:40")]
     split = O.split_mnps(records).collect()
     assert [(x["pos"], x["ref"], x["alt"], x["info"]) for x in split] == [(50, "G", "A", "DP=1;FROM_MNP"), (51, "C", "T", "DP=1;FROM_MNP")]
 
 
+MIXED = [
+    "1\t10\t.\tA\tG,ATT\t50\tPASS\tAC=1,2;AD=5,6,7\tGT:AO:AD:GL\t0/1:7,9:1,2,3:1,2,3,4,5,6\t1|2:7,9:.:.",
+    "1\t20\t.\tAC\tGT,A\t50\tPASS\tAC=1,2\tGT:AO\t1/2:3,4\t.",
+    "1\t30\t.\tC\t.\t50\tPASS\tDP=1\tGT\t0/0\t.",
+]
+NUMBERS = {"GT": "1", "AO": "A", "AD": "R", "GL": "G"}
+
+
+def test_fields_by_number(spark, tmp_path):
+    records, header = vcf.read(spark, put(tmp_path, "m.vcf", MIXED))
+    kept = O.select_classes(records, [A.SNP], {"AC": "A", "AD": "R"}, header.samples, NUMBERS)
+    assert by_pos(kept, "alt", "info", "NA1", "NA2") == {10: ("G", "AC=1;AD=5,6", "0/1:7:1,2:.", "1|.:7:.:.")}
+    split = O.split_mnp_records(records, {"AC": "A"}, header.samples, NUMBERS).collect()
+    assert sorted((x["pos"], x["ref"], x["alt"], x["info"], x["NA1"]) for x in split if x["pos"] != 10) == [
+        (20, "A", "G", "AC=1;FROM_MNP", "1/.:3"), (20, "AC", "A", "AC=2", "./1:4"), (21, "C", "T", "AC=1;FROM_MNP", "1/.:3"), (30, "C", ".", "DP=1", "0/0")]
+    whole = [x for x in split if x["pos"] == 10][0]
+    assert whole["alt"] == "G,ATT" and whole["NA1"] == "0/1:7,9:1,2,3:1,2,3,4,5,6"
+
+
+def test_report_has_every_row(spark):
+    assert len(stats.report(spark.range(12_345)).splitlines()) == 12_346
+
+
 def test_six_digits_and_numbers(spark):
     xs = [0.0, 1.0, 50.25, 123456.7, 1234567.0, 0.00001234, 1e-4, 99999.95, 3.14159265, 1e20, 12.5, -7.125]
     got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", text.six_digits(F.col("x")).alias("t")).collect()
