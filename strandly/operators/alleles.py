@@ -15,8 +15,14 @@ SITE = ["chrom", "npos", "cls"]
 
 
 def with_alleles(records: DataFrame) -> DataFrame:
-    """Records with the array `alleles`, in one narrow step."""
-    return records.withColumn("alleles", A.alleles(F.col("pos"), F.col("ref"), F.col("alt")))
+    """Records with the array `alleles`, in one narrow step that filters on it do not repeat."""
+    return once(records, "alleles", A.alleles(F.col("pos"), F.col("ref"), F.col("alt")))
+
+
+def once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """Rows with a column that is computed once a row: the optimizer pushes filters below a
+    projection and repeats its expressions there, but not below a generator."""
+    return rows.select(*[c for c in rows.columns if c != name], F.explode_outer(F.array(value)).alias(name))
 
 
 def exploded(rows: DataFrame, array: str | Column, name: str, *keep: str | Column) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fields
 from ..functions.text import genotype_count, let
+from .alleles import exploded
 
 TYPES = {"Integer": r"^[+-]?\d+$", "Float": r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$|^[+-]?(inf|nan|Inf|NaN|INF)$", "Character": r"^.$"}
 
@@ -126,7 +127,7 @@ def header_faults(fields_: DataFrame) -> DataFrame:
 
 
 def _exploded(records: DataFrame, faults: Column) -> DataFrame:
-    rows = records.select("record_id", "chrom", "pos", F.explode(faults).alias("f"))
+    rows = exploded(records, faults, "f", "record_id", "chrom", "pos")
     return rows.select("record_id", "chrom", "pos", "f.sample", "f.field", "f.rule", "f.message")
 
 

@@ -72,18 +72,39 @@ def listed(columns: dict[str, str]) -> str:
     return ", ".join(f"{v} AS {k}" for k, v in columns.items())
 
 
+#: Bytes of a file a core reads well; smaller inputs come in fewer pieces than there are cores.
+PIECE = 16 << 20
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows over all cores. A file of one row group is one task's work however many cores
+    there are; only inputs under PIECE bytes a core are dealt anew, larger ones come in pieces."""
+    spark = rows.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(cores) if size < PIECE * cores else rows
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str, where: str = "true") -> DataFrame:
+    columns = {"lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag"], "orders": ["o_orderkey", "o_custkey", "o_orderpriority"]}[name]
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet").filter(where).select(columns))
+
+
+def _derived(columns: dict[str, str]) -> list[str]:
+    return [f"{v} AS {k}" for k, v in columns.items()]
+
+
 def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr(*[f"{v} AS {k}" for k, v in VARIANT.items()])
+    return _table(spark, sf_dir, "lineitem").selectExpr(*_derived(VARIANT))
 
 
 def calls_a(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").filter(A_ROWS).selectExpr(*[f"{v} AS {k}" for k, v in VARIANT.items()])
+    return _table(spark, sf_dir, "lineitem", A_ROWS).selectExpr(*_derived(VARIANT))
 
 
 def calls_b(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = VARIANT | {"alt": B_ALT}
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").filter(B_ROWS).selectExpr(*[f"{v} AS {k}" for k, v in own.items()])
+    return _table(spark, sf_dir, "lineitem", B_ROWS).selectExpr(*_derived(VARIANT | {"alt": B_ALT}))
 
 
 def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr(*[f"{v} AS {k}" for k, v in INTERVAL.items()])
+    return _table(spark, sf_dir, "orders").selectExpr(*_derived(INTERVAL))
