@@ -18,12 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, fresh, prepare, slices, texts, with_ids
-from .components import Sets, components
+from .components import components
+from .jaccard_cells import cell_links
 
 #: Frequent shingles kept apart: most of a task, and of all tasks (8 bytes each).
 TASK_HOT, HOT = 4096, 65_536
-#: Shingles that a bucket or a cell in one task holds on average; pivots of a round.
-BUCKET, CELL, PIVOTS, LEAF = 1_000_000, 2_000_000, 16, 48
+#: Shingles that a bucket or a cell in one task holds on average; pivots of a group in the first
+#: round of a larger cell, and the most rounds.
+BUCKET, CELL, PIVOTS, ROUNDS = 1_000_000, 2_000_000, 16, 32
 
 U64 = np.uint64
 #: Stands for a null id inside.
@@ -63,9 +65,22 @@ def shingle_sets(given: list[str], size: int) -> list[np.ndarray]:
     return out
 
 
-def _key(s: np.ndarray) -> int:
-    """A set's name: 64 bits of a hash of its sorted members."""
-    return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes()))))
+def _name(s: np.ndarray, bits: int = 64) -> tuple[int, int]:
+    """A set's name, the first `bits` of a 128-bit hash of its sorted members, and the other 64."""
+    h = xxhash.xxh3_128_intdigest(s.tobytes())
+    key, check = h >> 128 - bits << 64 - bits, h & (1 << 64) - 1
+    return key - (key >> 63 << 64), check - (check >> 63 << 64)
+
+
+def _namer(renamed: Broadcast | None, bits: int) -> Callable[[np.ndarray], int]:
+    """Names of sets, those of several sets replaced."""
+    other = renamed.value if renamed is not None else {}
+
+    def name(s: np.ndarray) -> int:
+        key, check = _name(s, bits)
+        return other.get((key, check), key) if other else key
+
+    return name
 
 
 def _slackness(t: tuple[int, int]) -> Callable[[np.ndarray], np.ndarray]:
@@ -73,8 +88,8 @@ def _slackness(t: tuple[int, int]) -> Callable[[np.ndarray], np.ndarray]:
     return lambda n: n - -(-n * t[0] // t[1])
 
 
-def _scan(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (id, n, key, hot) of documents, and with hot set (-, count, shingle) of a task's frequent
+def _scan(size: int, bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (id, n, key, check, hot) of documents, and with hot set (-, count, shingle) of a task's frequent
     shingles by Misra-Gries counters: what is dropped lowers all that stay, so counts are never too high."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,11 +113,11 @@ def _scan(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
 
         for part in slices(batches, "text", 3_000_000):
             sets = shingle_sets(texts(part, "text"), size)
-            keys = [_key(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), pa.array([False] * len(keys))], names=["id", "n", "key", "hot"])
-            for s, key in zip(sets, keys, strict=True):
-                if key not in seen:
-                    seen.add(key)
+            keys = [_name(s, bits) for s in sets]
+            yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(x, pa.int64()) for x in ([len(s) for s in sets], [k for k, _ in keys], [c for _, c in keys])], pa.array([False] * len(keys))], names=["id", "n", "key", "check", "hot"])
+            for s, (_, check) in zip(sets, keys, strict=True):
+                if check not in seen:
+                    seen.add(check)
                     pending.append(s)
             if sum(map(len, pending)) > 1_000_000:
                 merge()
@@ -111,21 +126,22 @@ def _scan(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
         if len(top):
             order = np.lexsort((top, -count))[:TASK_HOT]
             order = order[count[order] > 1]
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(order), pa.int64()), pa.array(count[order]), pa.array(top[order].view(np.int64)), pa.array([True] * len(order))], names=["id", "n", "key", "hot"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(order), pa.int64()), pa.array(count[order]), pa.array(top[order].view(np.int64)), pa.nulls(len(order), pa.int64()), pa.array([True] * len(order))], names=["id", "n", "key", "check", "hot"])
 
     return run
 
 
-def _sets(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _sets(size: int, name: Callable[[], Callable[[np.ndarray], int]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows (key, members) of documents that have a shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        named = name()
         for part in slices(batches, "text", 2_000_000):
             found = [s for s in shingle_sets(texts(part, "text"), size) if len(s)]
             if found:
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in found])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array([_key(s) for s in found], pa.int64()), lists], names=["key", "members"])
+                yield pa.RecordBatch.from_arrays([pa.array([named(s) for s in found], pa.int64()), lists], names=["key", "members"])
 
     return run
 
@@ -200,7 +216,7 @@ def _bits(total: float, each: int) -> int:
     return min(24, max(0, int(np.ceil(np.log2(max(1.0, total / each))))))
 
 
-def survivors(rows: DataFrame, hot: Broadcast, size: int, t: tuple[int, int], total: int) -> DataFrame:
+def survivors(rows: DataFrame, hot: Broadcast, size: int, name: Callable[[], Callable[[np.ndarray], int]], t: tuple[int, int], total: int) -> DataFrame:
     """Names of sets that may link with another: of a set's shingles in the lower half of the hash
     range, all but those that a linked set may lack must be in another set, too. Exact: it drops
     no set with a link. Frequent shingles count as shared without being dealt."""
@@ -208,10 +224,10 @@ def survivors(rows: DataFrame, hot: Broadcast, size: int, t: tuple[int, int], to
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, names, numbers, held, seen = [], [], [], 0, set()
-        table = hot.value
+        table, named = hot.value, name()
         for part in slices(batches, "text", 3_000_000):
             for s in shingle_sets(texts(part, "text"), size):
-                key = _key(s)
+                key = named(s)
                 if not len(s) or key in seen:
                     continue
                 seen.add(key)
@@ -307,179 +323,94 @@ def cell_edges(sets: DataFrame, hot: Broadcast, t: tuple[int, int], total: int)
     return found.join(least, "member").select(F.col("key").alias("a"), "b").filter("a <> b").distinct()
 
 
-class Cell:
-    """The sets of one cell in compressed rows, for the recursion over pivots."""
-
-    def __init__(self, sets: list[np.ndarray], t: tuple[int, int]):
-        self.lens = np.array([len(s) for s in sets], np.int64)
-        universe, flat = np.unique(np.concatenate(sets), return_inverse=True)
-        self.flat, self.starts = flat.astype(np.int64), np.concatenate([[0], np.cumsum(self.lens)])
-        self.flag = np.zeros(len(universe), np.int32)
-        self.t, self.r = t, 1 - t[0] / t[1]
-        self.sets = Sets(len(sets))
-
-    def common(self, pivot: int, rows: np.ndarray, flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Sizes of the intersections of a pivot with rows laid out in flat."""
-        own = self.flat[self.starts[pivot] : self.starts[pivot + 1]]
-        self.flag[own] = 1
-        out = np.add.reduceat(self.flag[flat], starts) if len(rows) else np.zeros(0, np.int64)
-        self.flag[own] = 0
-        return out.astype(np.int64)
-
-    def laid(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        lens = self.lens[rows]
-        starts = np.concatenate([[0], np.cumsum(lens)[:-1]])
-        at = np.repeat(self.starts[rows] - starts, lens) + np.arange(int(lens.sum()))
-        return self.flat[at], starts
-
-    def against(self, pivot: int, rows: np.ndarray, laid: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-        """Distances of a pivot to rows; links found are joined."""
-        both = self.common(pivot, rows, *laid)
-        union = self.lens[rows] + self.lens[pivot] - both
-        for i in rows[(both * self.t[1] >= union * self.t[0]) & (rows != pivot)].tolist():
-            self.sets.join(pivot, i)
-        return 1 - both / union
-
-    def solve(self, rows: np.ndarray) -> None:
-        """Finds all links between rows, up to those within a component already found."""
-        stack = [rows]
-        while stack:
-            rows = stack.pop()
-            roots = np.array([self.sets.root(i) for i in rows.tolist()])
-            if len(rows) < 2 or (roots == roots[0]).all():
-                continue
-            if len(rows) <= LEAF:
-                self.scan(rows)
-                continue
-            laid = self.laid(rows)
-            pivots, dist = [], []
-            nearest = np.full(len(rows), np.inf)
-            pick = 0
-            for _ in range(8):  # each farthest from those before
-                pivots.append(int(rows[pick]))
-                dist.append(self.against(pivots[-1], rows, laid))
-                nearest = np.minimum(nearest, dist[-1])
-                pick = int(np.argmax(nearest))
-                if nearest[pick] == 0:
-                    break
-            d = np.array(dist)
-            home = d.argmin(axis=0)
-            left = ~np.isin(rows, pivots)  # all links of pivots are found
-            near = nearest <= 2 * self.r
-            regions = []
-            for p in range(len(pivots)):
-                own = near & (home == p)
-                if own.any():
-                    # a link reaches from a region's rows to rows within r of its radius, and by the
-                    # triangle inequality to rows that are at most 2 r farther from it than from home
-                    window = (d[p] <= d[p][own].max() + self.r + 1e-12) & (d[p] <= nearest + 2 * self.r + 1e-12)
-                    regions.append(rows[(own | window) & left])
-            regions.append(rows[~near & left])
-            if sum(map(len, regions)) > 2 * len(rows):
-                self.scan(rows[left])  # windows that hold everything separate nothing
-            else:
-                stack.extend(regions)
-
-    def scan(self, rows: np.ndarray) -> None:
-        """Each row against those after it, but for rows of one component."""
-        lens = self.lens[rows]
-        rows = rows[np.argsort(lens, kind="stable")]
-        flat, starts = self.laid(rows)
-        sizes = self.lens[rows]
-        ends = np.concatenate([starts[1:], [len(flat)]]) if len(rows) else starts
-        for i in range(len(rows) - 1):
-            j = int(np.searchsorted(sizes, sizes[i] * self.t[1] / self.t[0], side="right"))
-            if j > i + 1:
-                self.against(int(rows[i]), rows[i + 1 : j], (flat[starts[i + 1] : ends[j - 1]], starts[i + 1 : j] - starts[i + 1]))
-
-
-def cell_links(t: tuple[int, int]) -> Callable[[pa.Table], pa.Table]:
-    """Links (a, b) that connect what links connect, cell by cell."""
-
-    def run(table: pa.Table) -> pa.Table:
-        cells: dict[int, dict[int, np.ndarray]] = {}
-        for cell, key, members in zip(table.column("cell").to_pylist(), table.column("key").to_pylist(), table.column("members"), strict=True):
-            cells.setdefault(cell, {}).setdefault(key, np.asarray(members.values).view(U64))
-        a, b = [], []
-        for own in cells.values():
-            keys = sorted(own)
-            cell = Cell([own[k] for k in keys], t)
-            cell.solve(np.arange(len(keys)))
-            for i, k in enumerate(keys):
-                if (root := cell.sets.root(i)) != i:
-                    a.append(k)
-                    b.append(keys[root])
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return run
-
-
-def _far_and_near(t: tuple[int, int]) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
-    """Of a salted part of a large cell and all its pivots: links, and each row's regions."""
-    r = 1 - t[0] / t[1]
-
-    def run(_: tuple, rows: pa.Table, pivots: pa.Table) -> pa.Table:
-        out: dict[str, list] = {"cell": [], "key": [], "pivot": [], "link": [], "d": [], "home": []}
-        tops = {k: np.asarray(m.values).view(U64) for k, m in zip(pivots.column("key").to_pylist(), pivots.column("members"), strict=True)}
-        for cell, key, members in zip(rows.column("cell").to_pylist(), rows.column("key").to_pylist(), rows.column("members"), strict=True):
-            s = np.asarray(members.values).view(U64)
-            if key in tops:
-                found = [(p, len(np.intersect1d(s, x, assume_unique=True)), len(x)) for p, x in tops.items() if p < key]
-            else:
-                found = [(p, len(np.intersect1d(s, x, assume_unique=True)), len(x)) for p, x in tops.items()]
-            dist = sorted((1 - n / (len(s) + m - n), p, n * t[1] >= (len(s) + m - n) * t[0]) for p, n, m in found)
-            nearest = dist[0][0] if dist else 1.0
-            for d, p, link in dist:
-                if link or key not in tops and d <= 3 * r + 1e-12 and d <= nearest + 2 * r + 1e-12 and nearest <= 3 * r + 1e-12:
-                    home = key not in tops and p == dist[0][1] and nearest <= 2 * r
-                    for name, v in zip(out, (cell, key, p, link, d, home), strict=True):
-                        out[name].append(v)
-            if key not in tops and nearest > 2 * r:
-                for name, v in zip(out, (cell, key, None, False, 1.0, True), strict=True):
-                    out[name].append(v)
-        kinds = {"cell": pa.int64(), "key": pa.int64(), "pivot": pa.int64(), "link": pa.bool_(), "d": pa.float64(), "home": pa.bool_()}
-        return pa.table({n: pa.array(v, kinds[n]) for n, v in out.items()})
-
-    return run
-
-
-def split_cells(members: DataFrame, sizes: DataFrame, t: tuple[int, int], most: int) -> tuple[DataFrame, list[DataFrame]]:
-    """Cells of more than `most` shingles, split by rounds of pivots into smaller ones.
-
-    A round samples pivots in each large cell, deals the cell's rows by a salt, and compares every
-    row with every pivot: that finds all links of the pivots in that cell, which they leave. Rows go to the region
-    of their nearest pivot (within 2 r) or to the far region, and into other regions as far as
-    the windows of the triangle inequality reach. Regions whose rows links connect already are
-    done. Returns (cell, key) of the small cells left, and the links found."""
-    left, links = [], []
-    now, turn = cut(members), 0
-    while not sizes.isEmpty():
-        some = PIVOTS * 2 ** min(turn, 5)
-        order = F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(1 << 30))
-        here = now.join(sizes.select("cell", "rows", F.ceil(F.col("total") / most).cast("int").alias("salts")), "cell")
-        best = here.groupBy("cell").agg(F.min(F.struct(order.alias("o"), "key")).alias("best"))
-        here = cut(here.join(best, "cell").withColumn("salt", F.pmod(F.xxhash64("key", F.lit(-1)), F.col("salts")).cast("int")))
-        first = here.filter((order < F.lit(float(1 << 30)) * some / F.col("rows")) | (F.col("key") == F.col("best.key")))
-        first = first.select("cell", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "key", "members")
-        done = here.select("cell", "salt", "key", "members").groupBy("cell", "salt").cogroup(first.groupBy("cell", "salt")).applyInArrow(_far_and_near(t), "cell long, key long, pivot long, link boolean, d double, home boolean")
-        done = cut(done)
-        links.append(done.filter("link").select(F.col("key").alias("a"), F.col("pivot").alias("b")))
-        label = components(_union(links)).withColumnsRenamed({"a": "key", "b": "root"})
-        reach = done.filter("home and pivot is not null").groupBy("cell", "pivot").agg(F.max("d").alias("radius"))
-        tops = first.select("cell", "key").distinct()  # in another cell a pivot has links that are still to be found
-        regions = done.join(reach, ["cell", "pivot"], "left").filter(F.col("home") | (F.col("d") <= F.col("radius") + (1 - t[0] / t[1]) + 1e-12))
-        regions = regions.join(tops, ["cell", "key"], "left_anti").select(F.xxhash64("cell", F.coalesce("pivot", F.lit(0)), F.lit(turn)).alias("cell"), "key").distinct()
-        regions = regions.join(label, "key", "left").withColumn("root", F.coalesce("root", "key"))
-        several = regions.groupBy("cell").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("cell")
-        regions = regions.join(several, "cell", "left_semi").select("cell", "key")
-        sets = now.select("key", "members").dropDuplicates(["key"])
-        now = cut(regions.join(sets, "key").select("cell", "key", "members"))
-        all_sizes = cut(now.groupBy("cell").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.size("members")).alias("total")))
+def _salted(edges: DataFrame, bound: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """Edges with a salt, and (b, salts): rows of a pivot with more than `bound` edges are dealt
+    over several keys, so that no task gets all of them."""
+    often = cut(edges.groupBy("b").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > bound).select("b", F.ceil(F.col("n") / bound).cast("int").alias("salts")))
+    own = with_ids(edges, often, "left").withColumn("salt", F.pmod(F.xxhash64("a"), F.coalesce("salts", F.lit(1))).cast("int"))
+    return own.drop("salts"), often
+
+
+def compare(edges: DataFrame, sets: DataFrame, t: tuple[int, int]) -> DataFrame:
+    """Edges (a, b) of distinct names with d, the Jaccard distance of the sets (key, members) of
+    these names, and link, whether it is small enough. Sizes of intersections are native; a pivot
+    b with very many rows is joined in salted parts."""
+    edges, often = _salted(edges)
+    tops = with_ids(sets.join(edges.select(F.col("b").alias("key")).distinct(), "key", "left_semi").select(F.col("key").alias("b"), F.col("members").alias("y")), often, "left")
+    tops = tops.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    both = edges.join(sets.select(F.col("key").alias("a"), F.col("members").alias("x")), "a").join(tops, ["b", "salt"])
+    both = both.select("a", "b", F.size("x").alias("m"), F.size("y").alias("n"), F.size(F.array_intersect("x", "y")).cast("long").alias("c"))
+    union = F.col("m") + F.col("n") - F.col("c")
+    return both.select("a", "b", (1 - F.col("c") / union).alias("d"), (F.col("c") * t[1] >= union * t[0]).alias("link"))
+
+
+def prefixes(members: DataFrame, t: tuple[int, int]) -> DataFrame:
+    """(cell, member, key) of rows (cell, key, members): the members of prefixes, the rarest in the
+    cell first, that more than one row of the cell holds."""
+    each = members.select("cell", "key", F.explode("members").alias("member"))
+    held = each.groupBy("cell", "member").agg(F.count(F.lit(1)).alias("n"))
+    own = each.join(held, ["cell", "member"]).groupBy("cell", "key").agg(F.array_sort(F.collect_list(F.struct("n", "member"))).alias("own"))
+    size = F.size("own")
+    most = size - F.ceil(size * t[0] / t[1]).cast("int") + 1
+    return own.select("cell", "key", F.explode(F.slice("own", F.lit(1), most)).alias("p")).filter("p.n > 1").select("cell", "p.member", "key")
+
+
+def split_cells(members: DataFrame, sizes: DataFrame, t: tuple[int, int], most: int, rounds: int = ROUNDS) -> tuple[DataFrame, list[DataFrame]]:
+    """Cells of more than `most` shingles, split by rounds of pivots into smaller ones; what a cell
+    in one task does, as joins.
+
+    In each group of rows whose prefixes share a member (ordered anew in the cell) a round picks
+    some rows as pivots, twice as many as the round before, and compares all rows of the group
+    with them. Rows that are pivots in all their groups have no links to be found and leave; so do
+    rows whose groups links connect already. Others go to the Voronoi region of the nearest pivot,
+    and into the regions that their groups and the windows of the triangle inequality reach; a
+    cell that regions would not separate stays one. The number of rounds grows with the logarithm
+    of the largest group; cells that are large after `rounds` of them are left as they are.
+    Returns (cell, key, members) of the cells left, and the links found."""
+    left, links, r = [], [], 1 - t[0] / t[1]
+    sets = cut(members.select("key", "members").dropDuplicates(["key"]))
+    now, turn = cut(members.select("cell", "key").distinct()), 0
+    while turn < rounds and not sizes.isEmpty():
+        order = F.xxhash64("key", F.lit(turn))
+        posts = cut(prefixes(now.join(sets, "key"), t).withColumn("o", order))
+        label = cut(components(_union(links))) if links else None
+        if label is not None:
+            posts = posts.join(label.withColumnsRenamed({"a": "key", "b": "root"}), "key", "left").withColumn("root", F.coalesce("root", "key"))
+        else:
+            posts = posts.withColumn("root", F.col("key"))
+        held = posts.groupBy("cell", "member").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("o", "key")).alias("best"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+        share = F.pmod(F.col("o"), F.lit(1 << 30)) < F.lit(float(1 << 30)) * PIVOTS * 2**turn / F.col("n")
+        posts = posts.join(held.filter("n > 1 and lo < hi").select("cell", "member", "n", "best"), ["cell", "member"])
+        posts = cut(posts.select("cell", "member", "key", "o", (share | (F.col("key") == F.col("best.key"))).alias("top")))
+        tops = posts.filter("top").select("cell", "member", F.col("key").alias("b"), F.col("o").alias("bo"))
+        edges = posts.join(tops, ["cell", "member"]).filter("key <> b and (not top or o > bo or o = bo and key > b)")
+        done = cut(compare(cut(edges.select(F.col("key").alias("a"), "b").distinct()), sets, t))
+        links.append(done.filter("link").select("a", "b"))
+
+        stay = cut(posts.groupBy("cell", "key").agg(F.min("top").alias("out")).filter("not out").select("cell", "key"))
+        near = done.select(F.col("a").alias("key"), F.col("b").alias("pivot"), "d").unionAll(done.select("b", "a", "d"))
+        met = edges.select("cell", "key", F.col("b").alias("pivot")).distinct().join(near, ["key", "pivot"])
+        home = stay.join(met.groupBy("cell", "key").agg(F.min(F.struct("d", "pivot")).alias("h")), ["cell", "key"]).select("cell", "key", "h.d", F.col("h.pivot").alias("home"))
+        home = cut(home)
+        radius = home.groupBy("cell", "home").agg(F.max("d").alias("radius"))
+        placed = posts.join(home.select("cell", "key", "home"), ["cell", "key"])
+        several = placed.groupBy("cell", "member").agg(F.count(F.lit(1)).alias("rows"), F.approx_count_distinct("home").alias("homes"))
+        apart = several.groupBy("cell").agg(F.sum(F.col("rows") * F.col("homes")).alias("x"), F.sum("rows").alias("y")).filter("x <= 16 * y").select("cell")
+        placed = cut(placed.join(apart, "cell", "left_semi"))
+        pairs = placed.select("cell", "member", "key").join(placed.select("cell", "member", "home").distinct(), ["cell", "member"]).select("cell", "key", "home").distinct()
+        pairs = pairs.join(met.select("cell", "key", F.col("pivot").alias("home"), "d"), ["cell", "key", "home"], "left").join(radius, ["cell", "home"])
+        pairs = cut(pairs.filter(F.col("d").isNull() | (F.col("d") <= F.col("radius") + r + 1e-12)).select("cell", "home", "key"))
+        counts = pairs.groupBy("cell", "home").agg(F.count(F.lit(1)).alias("n")).groupBy("cell").agg(F.sum("n").alias("all"), F.max("n").alias("most"))
+        counts = counts.join(stay.groupBy("cell").agg(F.count(F.lit(1)).alias("rows")), "cell")
+        apart = cut(counts.filter("2 * most <= rows and 2 * all <= 3 * rows").select("cell"))
+        regions = pairs.join(apart, "cell", "left_semi").select(F.xxhash64("cell", "home", F.lit(turn)).alias("cell"), "key")
+        now = cut(regions.unionAll(stay.join(apart, "cell", "left_anti")))
+        all_sizes = cut(now.join(sets, "key").groupBy("cell").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.size("members")).alias("total")))
         sizes = all_sizes.filter(F.col("total") > most)
         left.append(now.join(sizes, "cell", "left_anti"))
         now = now.join(sizes.select("cell"), "cell", "left_semi")
         turn += 1
-    return _union(left), links
+    return _union([*left, now]).join(sets, "key").select("cell", "key", "members"), links
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -489,7 +420,7 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def jaccard_join(docs: DataFrame, threshold: tuple[int, int] = (75, 100), size: int = 5, cell: int = CELL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_join(docs: DataFrame, threshold: tuple[int, int] = (75, 100), size: int = 5, cell: int = CELL, bits: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_shingles, component_id.
 
     A document's set is its distinct `size`-word shingles (see shingle_sets). Two documents link
@@ -497,35 +428,49 @@ def jaccard_join(docs: DataFrame, threshold: tuple[int, int] = (75, 100), size:
     reachable by links. Null or empty texts and texts without words have an empty set, link with
     nothing and are their own component. Equal sets are one vertex, so copies cost one row each;
     rows that repeat an id come back as often; a null id is never the smallest of others. Other
-    columns are not read; empty tables give no rows. Shingles and sets are compared by 64-bit
-    hashes."""
+    columns are not read; empty tables give no rows. Shingles are compared by 64-bit hashes, sets
+    by 128 bits: of `bits` (64) each has its name, and sets that share a name get others."""
     spark = docs.sparkSession
     prepare(spark)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("text"))
-    scanned = cut(rows.mapInArrow(_scan(size), "id long, n long, key long, hot boolean"))
-    all_docs = scanned.filter("not hot").select("id", "n", "key")
+    scanned = cut(rows.mapInArrow(_scan(size, bits), "id long, n long, key long, check long, hot boolean"))
+    all_docs = scanned.filter("not hot").select("id", "n", "key", "check")
     frequent = scanned.filter("hot").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(HOT).toArrow()
     hot = spark.sparkContext.broadcast(np.sort(frequent["key"].to_numpy().astype(np.int64).view(U64)))
     named = F.when(F.col("id") != NO_ID, F.col("id"))
-    classes = cut(all_docs.filter("n > 0").groupBy("key").agg(F.min(named).alias("rep"), F.max("n").alias("n")))
+    of = lambda given: cut(given.filter("n > 0").groupBy("key").agg(F.min(named).alias("rep"), F.max("n").alias("n"), F.min("check").alias("lo"), F.max("check").alias("hi")))
+    classes, renamed = of(all_docs), None
+    if not (twice := classes.filter("lo < hi").select("key")).isEmpty():  # two sets of one name, about one in 10^19 pairs
+        again = all_docs.filter("n > 0").join(twice, "key", "left_semi").select("key", "check").distinct().withColumn("other", F.xxhash64("key", "check"))
+        again = cut(again)
+        renamed = spark.sparkContext.broadcast({(r["key"], r["check"]): r["other"] for r in again.collect()})
+        all_docs = cut(all_docs.join(again, ["key", "check"], "left").select("id", "n", F.coalesce("other", "key").alias("key"), "check"))
+        classes = of(all_docs)
+    classes, all_docs = classes.select("key", "rep", "n"), all_docs.select("id", "n", "key")
     total = classes.agg(F.sum("n")).first()[0] or 0
+    name = lambda: _namer(renamed, bits)
 
-    alive = cut(survivors(rows, hot, size, threshold, total).join(classes, "key").select("key", "n", F.coalesce("rep", F.lit(NO_ID)).alias("id")))
+    alive = cut(survivors(rows, hot, size, name, threshold, total).join(classes, "key").select("key", "n", F.coalesce("rep", F.lit(NO_ID)).alias("id")))
     picked = with_ids(rows, cut(alive.select("id").distinct()), "left_semi")
-    sets = cut(with_ids(picked.mapInArrow(_sets(size), "key long, members array<bigint>"), alive.select("key"), "left_semi"))
+    sets = cut(with_ids(picked.mapInArrow(_sets(size, name), "key long, members array<bigint>"), alive.select("key"), "left_semi").dropDuplicates(["key"]))
     total = alive.agg(F.sum("n")).first()[0] or 0
 
-    cells = components(cell_edges(sets, hot, threshold, total)).withColumnsRenamed({"a": "key", "b": "cell"})
-    cells = cut(cells.unionAll(cells.select("cell", "cell").distinct()).join(alive, "key").select("key", "cell", "n"))
-    sizes = cut(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("total")))
+    edges = cut(cell_edges(sets, hot, threshold, total))
+    links = [cut(compare(edges, sets, threshold).filter("link").select("a", "b"))]
+    roots = components(links[0]).withColumnsRenamed({"a": "key", "b": "root"})
+    cells = components(edges).withColumnsRenamed({"a": "key", "b": "cell"})
+    cells = cells.unionAll(cells.select("cell", "cell").distinct()).join(alive, "key").join(roots, "key", "left")
+    cells = cut(cells.select("key", "cell", "n", F.coalesce("root", "key").alias("root")))
+    sizes = cells.groupBy("cell").agg(F.sum("n").alias("total"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    sizes = cut(sizes.filter("lo < hi").select("cell", "total"))  # links connect all of the other cells
     large = sizes.filter(F.col("total") > cell)
-    members = sets.join(cells.select("key", "cell"), "key").select("cell", "key", "members")
-    links = []
+    members = sets.join(cells.join(sizes.select("cell"), "cell", "left_semi").select("key", "cell"), "key").select("cell", "key", "members")
     if not large.isEmpty():
-        parts, links = split_cells(members.join(large.select("cell"), "cell", "left_semi"), cut(large), threshold, cell)
+        parts, more = split_cells(members.join(large.select("cell"), "cell", "left_semi"), cut(large), threshold, cell)
+        links += more
         members = members.join(large.select("cell"), "cell", "left_anti").unionAll(parts)
-    packs = int((sizes.agg(F.sum("total")).first()[0] or 0) // cell) + 1
-    dealt = members.withColumn("pack", F.pmod(F.xxhash64("cell"), F.lit(8 * packs)))
+    packs = 8 * int((sizes.agg(F.sum("total")).first()[0] or 0) // cell) + 64
+    dealt = members.join(cells.select("key", "root"), "key").withColumn("pack", F.pmod(F.xxhash64("cell"), F.lit(packs)))
     links.append(dealt.groupBy("pack").applyInArrow(cell_links(threshold), "a long, b long"))
 
     found = components(_union(links)).withColumnsRenamed({"a": "key", "b": "root"})

@@ -15,7 +15,7 @@ pytest.importorskip("strandly.llm")
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from strandly.llm import bpe, exact_dedup, html_extract, jaccard_join, kneser_ney, line_dedup, mixing, quality_rules, queries, secrets, token_counts  # noqa: E402
+from strandly.llm import bpe, exact_dedup, html_extract, jaccard_cells, jaccard_join, kneser_ney, line_dedup, mixing, quality_rules, queries, secrets, token_counts  # noqa: E402
 from strandly.llm.components import components  # noqa: E402
 
 WS = re.compile(r"[\x20\x09-\x0D]+")
@@ -253,8 +253,8 @@ def brute_components(texts, ids, t=(75, 100), size=5):
     return {d: (len(sets[i]), least[root(i)]) for i, d in enumerate(ids)}
 
 
-@pytest.mark.parametrize("cell", [2_000_000, 400])
-def test_jaccard_join(spark, cell):
+@pytest.mark.parametrize(("cell", "bits"), [(2_000_000, 64), (400, 64), (2_000_000, 5)])
+def test_jaccard_join(spark, cell, bits):
     texts = [None, "", "  ", "one two", "One  TWO", "three", *corpus(7, 60)]
     base = [f"w{i}" for i in range(60)]
     r = random.Random(2)
@@ -264,7 +264,7 @@ def test_jaccard_join(spark, cell):
             copy[r.randrange(60)] = f"x{r.randrange(10)}"
         texts.append(" ".join(copy))
     ids = [3 * i + 2 for i in range(len(texts))]
-    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard_join.jaccard_join(docs(spark, texts, ids).repartition(3), cell=cell).collect()}
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard_join.jaccard_join(docs(spark, texts, ids).repartition(3), cell=cell, bits=bits).collect()}
     assert got == brute_components(texts, ids)
 
 
@@ -279,9 +279,9 @@ def test_jaccard_cells_are_exact():
                 s.discard(int(r.choice(list(s))))
                 s.add(int(r.integers(500, 900)))
             sets.append(np.array(sorted(s), np.uint64))
-        cell = jaccard_join.Cell(sets, (75, 100))
+        cell = jaccard_cells.Cell(sets, (75, 100))
         cell.solve(np.arange(len(sets)))
-        plain = jaccard_join.Cell(sets, (75, 100))
+        plain = jaccard_cells.Cell(sets, (75, 100))
         for i in range(len(sets)):
             for j in range(i):
                 n = len(set(sets[i].tolist()) & set(sets[j].tolist()))
@@ -290,8 +290,36 @@ def test_jaccard_cells_are_exact():
         assert [cell.sets.root(i) for i in range(len(sets))] == [plain.sets.root(i) for i in range(len(sets))], turn
 
 
+def test_comparisons_with_pivots_stay_few():
+    """Unrelated sets in a chain, neighbours sharing one shingle; and copies at all distances."""
+    for n in (1000, 2000, 4000, 8000):
+        chain = jaccard_cells.Cell([np.arange(7 * i, 7 * i + 8, dtype=np.uint64) for i in range(n)], (75, 100))
+        chain.solve(np.arange(n))
+        assert chain.compared <= n**1.3 / 2 and chain.links == 0
+        # neighbours share three of five, so prefixes meet all along the chain
+        path = jaccard_cells.Cell([np.arange(i, i + 4, dtype=np.uint64) for i in range(n)], (75, 100))
+        path.solve(np.arange(n))
+        assert 0 < path.compared <= n**1.3 and path.links == 0
+    r = np.random.default_rng(1)
+    near = jaccard_cells.Cell([np.unique(np.concatenate([np.arange(100), r.integers(1000, 9000, 3)])).astype(np.uint64) for _ in range(3000)], (75, 100))
+    near.solve(np.arange(3000))
+    assert near.compared <= 3000 and len(set(near.roots(np.arange(3000)).tolist())) == 1
+
+
+def test_all_links_of_the_tables_come_from_pivots(spark, small):
+    rows = spark.read.parquet(f"{small}/documents.parquet").select("text").collect()
+    sets = list({s.tobytes(): s for s in jaccard_join.shingle_sets([r["text"] or "" for r in rows], 5) if len(s)}.values())
+    cell = jaccard_cells.Cell(sets, (75, 100))
+    cell.solve(np.arange(len(sets)))
+    full = [set(s.tolist()) for s in sets]
+    links = [(i, j) for i in range(len(full)) for j in range(i) if 100 * len(full[i] & full[j]) >= 75 * len(full[i] | full[j])]
+    assert links and all(cell.sets.root(i) == cell.sets.root(j) for i, j in links)
+    joined = len(sets) - len(set(cell.roots(np.arange(len(sets))).tolist()))
+    assert joined <= cell.links <= cell.compared  # every union is a comparison with a pivot
+
+
 def test_split_cells_keep_pivots_of_other_cells(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "PIVOTS", 4)
+    monkeypatch.setattr(jaccard_join, "PIVOTS", 0.5)  # of each group, so that there are several rounds
     r = random.Random(0)
     starts = [0]
     for _ in range(59):  # a chain: windows of regions overlap, and rounds follow one another
