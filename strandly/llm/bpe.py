@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from .common import prepare, slices, texts
+from .common import lean, prepare, slices, texts
 from .token_counts import byte_symbols
 
 #: Unicode's White_Space, which the vocabulary's rules call \s (fixed value).
@@ -24,7 +24,7 @@ BLANK = "\t\n\x0b\x0c\r \x85\xa0                
 #: What str.split() takes for white space beyond BLANK.
 ODD = re.compile("[\x1c-\x1f]")
 #: Pieces of text whose ids a worker remembers.
-KEPT = 250_000
+KEPT = 100_000
 
 _coders: dict[str, "Coder"] = {}
 
@@ -94,6 +94,10 @@ class Coder:
             self.known[piece] = ids
         return ids
 
+    def forget(self) -> None:
+        """At a task's end only the pieces last used stay, KEPT at most."""
+        self.older = {}
+
     def piece(self, piece: str) -> tuple[int, ...]:
         """Ids of a normalised piece without white space that is not among the last known."""
         if (ids := self.older.get(piece)) is not None:
@@ -158,7 +162,7 @@ def bpe_encode(docs: DataFrame, path: str, keep: list[str], text_col: str = "tex
             flat = np.fromiter(chain.from_iterable(lists), np.int32, ends[-1])
             yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=schema.names)
 
-    return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(encode, schema)
+    return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(lean(encode, lambda: coder(path).forget()), schema)
 
 
 def bpe_decode(rows: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -176,4 +180,4 @@ def bpe_decode(rows: DataFrame, path: str, ids_col: str = "ids", out_col: str =
                 out = pa.array([tool.decode(x or []) for x in part.column(at).to_pylist()], pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns, out], names=schema.names)
 
-    return rows.select(others).mapInArrow(decode, schema)
+    return rows.select(others).mapInArrow(lean(decode), schema)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import os
 import shutil
 import tempfile
@@ -87,6 +89,28 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 8_000_000
             yield batch.slice(start)
 
 
+def release() -> None:
+    """Gives memory that a worker has freed back to the system: workers outlive their tasks, and
+    the next operator's run beside them."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], forget: Callable[[], None] = lambda: None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function over a task's batches that calls `forget` and releases memory at its end."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            forget()
+            release()
+
+    return whole
+
+
 def texts(batch: pa.RecordBatch, column: str) -> list[str]:
     """Strings of a column, null as empty."""
     return [x or "" for x in batch.column(column).to_pylist()]

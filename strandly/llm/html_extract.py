@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, slices, texts
+from .common import lean, prepare, slices, texts
 
 #: Comments, declarations and tags; an attribute's quoted value may hold ">".
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
@@ -197,4 +197,4 @@ def extract(pages: DataFrame, keep: list[str], html_col: str = "html", text_col:
             done = pa.array([main_text(x) for x in texts(part, "__html")], pa.string())
             yield pa.RecordBatch.from_arrays([*part.columns[:-1], done], names=schema.names)
 
-    return pages.select(*keep, F.col(html_col).alias("__html")).mapInArrow(run, schema).withColumn("n_chars", F.length(text_col).cast("long"))
+    return pages.select(*keep, F.col(html_col).alias("__html")).mapInArrow(lean(run), schema).withColumn("n_chars", F.length(text_col).cast("long"))

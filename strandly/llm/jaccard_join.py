@@ -17,7 +17,7 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, prepare, slices, texts, with_ids
+from .common import cut, fresh, lean, prepare, slices, texts, with_ids
 from .components import components
 from .jaccard_cells import cell_links
 
@@ -38,6 +38,10 @@ def _hash(word: bytes) -> int:
     return value
 
 
+def _forget() -> None:
+    _words.clear()
+
+
 def _mixed(a: np.ndarray) -> np.ndarray:
     a = (a ^ (a >> U64(29))) * U64(0xBF58476D1CE4E5B9)
     return a ^ (a >> U64(32))
@@ -249,7 +253,7 @@ def survivors(rows: DataFrame, hot: Broadcast, size: int, name: Callable[[], Cal
         some = n > 0
         return pa.table({"key": np.concatenate([names[some], named]), "shared": np.concatenate([n[some], np.zeros(len(named), np.int64)]), "need": np.concatenate([np.full(int(some.sum()), -(1 << 40)), number])})
 
-    dealt = rows.select("text").mapInArrow(emit, BLOBS)
+    dealt = rows.select("text").mapInArrow(lean(emit, _forget), BLOBS)
     found = dealt.groupBy("bucket").applyInArrow(shared, "key long, shared long, need long")
     return found.groupBy("key").agg(F.sum("shared").alias("shared"), F.max("need").alias("need")).filter("shared >= need").select("key")
 
@@ -316,9 +320,9 @@ def cell_edges(sets: DataFrame, hot: Broadcast, t: tuple[int, int], total: int)
         keep = rank < left[owner] if len(owner) else np.zeros(0, bool)
         return pa.table({"member": member[keep], "key": names[owner[keep]]})
 
-    dealt = sets.select("key", "members").mapInArrow(emit, BLOBS).groupBy("bucket").applyInArrow(counted, "bucket int, what string, keys binary, values binary, counts binary")
+    dealt = sets.select("key", "members").mapInArrow(lean(emit), BLOBS).groupBy("bucket").applyInArrow(counted, "bucket int, what string, keys binary, values binary, counts binary")
     found = dealt.groupBy("bucket").applyInArrow(prefixes, "member long, key long")
-    found = cut(found.unionAll(sets.select("key", "members").mapInArrow(last, "member long, key long")))
+    found = cut(found.unionAll(sets.select("key", "members").mapInArrow(lean(last), "member long, key long")))
     least = found.groupBy("member").agg(F.min("key").alias("b"))
     return found.join(least, "member").select(F.col("key").alias("a"), "b").filter("a <> b").distinct()
 
@@ -433,7 +437,7 @@ def jaccard_join(docs: DataFrame, threshold: tuple[int, int] = (75, 100), size:
     spark = docs.sparkSession
     prepare(spark)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("text"))
-    scanned = cut(rows.mapInArrow(_scan(size, bits), "id long, n long, key long, check long, hot boolean"))
+    scanned = cut(rows.mapInArrow(lean(_scan(size, bits), _forget), "id long, n long, key long, check long, hot boolean"))
     all_docs = scanned.filter("not hot").select("id", "n", "key", "check")
     frequent = scanned.filter("hot").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(HOT).toArrow()
     hot = spark.sparkContext.broadcast(np.sort(frequent["key"].to_numpy().astype(np.int64).view(U64)))
@@ -452,7 +456,7 @@ def jaccard_join(docs: DataFrame, threshold: tuple[int, int] = (75, 100), size:
 
     alive = cut(survivors(rows, hot, size, name, threshold, total).join(classes, "key").select("key", "n", F.coalesce("rep", F.lit(NO_ID)).alias("id")))
     picked = with_ids(rows, cut(alive.select("id").distinct()), "left_semi")
-    sets = cut(with_ids(picked.mapInArrow(_sets(size, name), "key long, members array<bigint>"), alive.select("key"), "left_semi").dropDuplicates(["key"]))
+    sets = cut(with_ids(picked.mapInArrow(lean(_sets(size, name), _forget), "key long, members array<bigint>"), alive.select("key"), "left_semi").dropDuplicates(["key"]))
     total = alive.agg(F.sum("n")).first()[0] or 0
 
     edges = cut(cell_edges(sets, hot, threshold, total))

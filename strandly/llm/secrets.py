@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, prepare, slices, texts
+from .common import cut, lean, prepare, slices, texts
 
 #: Kinds in the order of the listing; "random" are the spans that the battery adds.
 KINDS = ("assign", "access", "hex", "random")
@@ -126,7 +126,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 more.append(tried)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(base, kinds[0]), pa.array(more, kinds[1])], names=schema.names)
 
-    return docs.select(F.col(id_col), F.col(text_col).alias("__text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col), F.col(text_col).alias("__text")).mapInArrow(lean(run), schema)
 
 
 def thresholds(tested: list[tuple[int, int, int]], q: float) -> list[float]:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, slices, texts
+from .common import lean, prepare, slices, texts
 
 #: The split pattern of byte-level BPE vocabularies of this kind (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -101,4 +101,4 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "d
             yield pa.RecordBatch.from_arrays([part.column(0), sizes, pa.array(tool.counts(given), pa.int64())], names=schema.names)
 
     rows = docs.select(F.col(id_col), F.col(text_col).alias("text"))
-    return rows.mapInArrow(count, schema).withColumn("over_limit", F.col("n_tokens") > limit)
+    return rows.mapInArrow(lean(count), schema).withColumn("over_limit", F.col("n_tokens") > limit)

@@ -383,11 +383,12 @@ def test_kneser_ney_scores_are_the_formula(spark):
     flags = {x["id"]: x["use"] for x in trusted.select(F.col("doc_id").alias("id"), F.when(F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(2)) == 0, 1).otherwise(2).alias("use")).collect()}
 
     def units(t):
-        a = "\x02\x02\x02" + t + "\x03"
-        return [a[i : i + 4] for i in range(len(a) - 3)]
+        a = "\x02" * (m - 1) + t + "\x03"
+        return [a[i : i + m] for i in range(len(a) - m + 1)]
 
-    counts = {4: Counter(g for i, t in enumerate(texts) if flags.get(i) == 1 for g in units(t))}
-    for k in (3, 2, 1):
+    m = kneser_ney.ORDER
+    counts = {m: Counter(g for i, t in enumerate(texts) if flags.get(i) == 1 for g in units(t))}
+    for k in range(m - 1, 0, -1):
         counts[k] = Counter(g[1:] for g in counts[k + 1])
     disc = {}
     for k, c in counts.items():
@@ -397,7 +398,7 @@ def test_kneser_ney_scores_are_the_formula(spark):
 
     def p(g):
         if not g:
-            return 1 / 65536
+            return 1 / 2**kneser_ney.BITS
         k, low = len(g), p(g[1:])
         own = {x: c for x, c in counts[k].items() if x[:-1] == g[:-1]}
         if not own:
