@@ -97,7 +97,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     counts = [F.size(F.filter("spans", of(k))).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
     base = F.filter("spans", lambda x: x["kind"] != "random")
-    return done.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    return done.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), "n_base_random")
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_bpe, op2_exact_dedup, op3_quality_rules, op4_html_extract, op5_line_dedup, op6_jaccard_join, op7_token_counts, op8_quality_classifier, op9_secrets, op10_mixing)}

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 from collections import Counter, defaultdict
@@ -466,6 +467,60 @@ def test_randomness_and_discovery(spark):
     assert secrets.find_secrets(docs(spark, texts).limit(0)).count() == 0
 
 
+NAMES = "river page blog user settings manager answer value list make home order status update config loader data service name index report monthly total account".split()
+
+
+def identifiers(r, n):
+    out = []
+    for _ in range(n):
+        ws, d, style = [r.choice(NAMES) for _ in range(r.randint(3, 6))], r.choice(("", str(r.randint(1, 99)), str(r.randint(1990, 2030)))), r.randrange(5)
+        out.append(("-".join(ws) + "-" + d, "_".join(ws) + d, "".join(w.capitalize() for w in ws) + d, "".join(ws) + d, "_".join(w.upper() for w in ws) + "_" + d)[style])
+    return out
+
+
+@pytest.mark.parametrize(("n", "kind"), [(0, "base62"), (20, "base62"), (200, "base62"), (60, "base64url"), (60, "alnum36")])
+def test_discoveries_among_identifiers(spark, n, kind):
+    r = random.Random(n)
+    alphabet = dict(secrets.ALPHABETS)[kind]
+    keys = ["".join(r.choice(alphabet) for _ in range(r.choice((24, 32, 48, 96, 160, 256)))) for _ in range(n)]
+    texts = [f"see {s} here" for s in identifiers(r, 2000) + keys]
+    got = {x["doc_id"]: [y for y in x["spans"] if y["kind"] == "random"] for x in secrets.find_secrets(docs(spark, texts)).collect()}
+    found, false = sum(bool(got[2000 + i]) for i in range(n)), sum(bool(got[i]) for i in range(2000))
+    assert found >= 0.9 * n and false <= 0.05 * (found + false)
+
+
+def test_secrets_of_the_tables(spark, small):
+    """The query against plain patterns; the battery calls most strings inside base spans random."""
+    patterns = {
+        "assign": (r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 12, 1),
+        "access": (r"AKIA[A-Z0-9]+", 18, 0),
+        "hex": (r"[0-9a-f]+", 16, 0),
+    }
+    rows = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()
+    got = {x["doc_id"]: x for x in queries.op9_secrets(spark, small).collect()}
+    for d in rows:
+        spans, x = [], got[d["doc_id"]]
+        for k, (pattern, least, group) in patterns.items():
+            own = [m for m in re.finditer(pattern, d["text"] or "") if len(m[group]) >= least]
+            assert x[f"n_{k}"] == len(own)
+            spans += [(m.start(), list(patterns).index(k), f"{k}:{m.start()}:{m.end()}") for m in own]
+        base = [s for _, _, s in sorted(spans)]
+        assert x["base_sha256"] == sha(",".join(base))
+        assert [s for s in x["spans"].split(",") if s and not s.startswith("random")] == base
+    assert len(got) == len(rows)
+    more = small.replace("sf0.001", "sf0.01")
+    if os.path.exists(more):
+        tried = secrets.scan(spark.read.parquet(f"{more}/documents.parquet")).select(F.explode("candidates").alias("c")).filter("c.based").count()
+        assert tried and queries.op9_secrets(spark, more).agg(F.sum("n_base_random")).first()[0] >= 0.9 * tried
+
+
+def test_secrets_of_long_and_repeated_rows(spark):
+    key = "Zq7Rk2Vx9Lm4Tn8Wp3Yb6Hc1Jd5"
+    texts = ["plain words and " * 100_000 + key, "plain words and " * 100_000 + key, *["many plain words of no interest"] * 50]
+    got = secrets.find_secrets(docs(spark, texts, [1, 1, *range(2, 52)])).collect()
+    assert [[(y["kind"], y["start"], y["end"]) for y in x["spans"]] for x in got if x["doc_id"] == 1] == [[("random", 1_600_000, 1_600_000 + len(key))]] * 2
+
+
 # 10
 
 
