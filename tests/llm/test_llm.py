@@ -515,7 +515,8 @@ def test_secrets_of_the_tables(spark, small):
 
 
 def test_secrets_of_long_and_repeated_rows(spark):
-    key = "Zq7Rk2Vx9Lm4Tn8Wp3Yb6Hc1Jd5"
+    r = random.Random(11)
+    key = "".join(r.choice(dict(secrets.ALPHABETS)["base62"]) for _ in range(40))
     texts = ["plain words and " * 100_000 + key, "plain words and " * 100_000 + key, *["many plain words of no interest"] * 50]
     got = secrets.find_secrets(docs(spark, texts, [1, 1, *range(2, 52)])).collect()
     assert [[(y["kind"], y["start"], y["end"]) for y in x["spans"]] for x in got if x["doc_id"] == 1] == [[("random", 1_600_000, 1_600_000 + len(key))]] * 2
