@@ -38,9 +38,12 @@ STOP = {
     "es": "de la que el en y a los se del las un por con no una su para es al lo como más o pero sus le ha me si sin sobre este ya entre cuando todo esta".split(),
 }
 ALL_STOP = frozenset(w for ws in STOP.values() for w in ws)
-#: Limits of the first pass: characters, share of stop words, share of characters in links.
-SHORT, LONG, STOP_LOW, STOP_HIGH, LINKS, LINKS_IN_MAIN = 70, 200, 0.10, 0.20, 0.20, 0.75
+#: Limits of the first pass: characters; words of a short block that speak for it, and that speak
+#: against it if none is a stop word; share of stop words; share of characters in links.
+SHORT, SOME, SEVERAL, STOP_LOW, STOP_HIGH, LINKS = 70, 4, 6, 0.07, 0.20, 0.20
 WORD = re.compile(r"[^\W\d_]+")
+#: What notices of rights begin with (fixed values).
+NOTICE = re.compile(r"\s*(©|\(c\)|copyright\b)", re.I)
 
 
 @dataclass
@@ -51,6 +54,8 @@ class Block:
     away: bool = False
     text: str = ""
     label: str = ""
+    #: What decided: "density", "links", "notice", "neighbours" or "marks".
+    by: str = ""
 
 
 def _names(raw: str) -> tuple[set[str], bool, str]:
@@ -141,40 +146,77 @@ def blocks(page: str) -> tuple[list[Block], str]:
     return out, language
 
 
+def spoken(found: list[Block], language: str) -> frozenset[str]:
+    """The stop words of the language that most of the page's words outside links are of; of equal
+    ones the page's own."""
+    counts = dict.fromkeys(STOP, 0)
+    for b in found:
+        if not b.linked:
+            words = WORD.findall(b.text.lower())
+            for name, own in STOP.items():
+                counts[name] += sum(w in own for w in words)
+    best = max(STOP, key=lambda name: (counts[name], name == language))
+    return frozenset(STOP[best]) if counts[best] else ALL_STOP
+
+
+def judged(b: Block, stop: frozenset[str]) -> tuple[str, str]:
+    """First pass: label and what decided, from the block alone; "short" and "near" are undecided."""
+    words = WORD.findall(b.text.lower())
+    density = sum(w in stop for w in words) / len(words) if words else 0.0
+    if b.linked > LINKS * max(1, sum(map(len, b.parts))):
+        return "bad", "links"
+    if NOTICE.match(b.text):
+        return "bad", "notice"
+    if len(b.text) < SHORT:
+        if len(words) >= SOME and density >= STOP_HIGH:
+            return "good", "density"
+        return ("bad", "density") if len(words) >= SEVERAL and not density else ("short", "")
+    if density >= STOP_HIGH or density < STOP_LOW:
+        return "good" if density >= STOP_HIGH else "bad", "density"
+    return "near", ""
+
+
 def classify(found: list[Block], language: str) -> None:
-    """First pass: each block by itself. Second pass: undecided ones by their neighbours."""
-    stop = frozenset(STOP.get(language, ())) or ALL_STOP
+    """First pass: each block by itself. Second pass: undecided ones by the nearest decided ones.
+
+    Marks of the page (an article, what stands apart from it) overrule what the rules say, after
+    each pass: what is marked as boilerplate is none of the text, and nothing of a marked article
+    is dropped for its density, length or links."""
+    stop = spoken(found, language)
     has_main = any(b.main and not b.away for b in found)
+
+    def overrule(b: Block) -> None:
+        marked = "bad" if b.away or has_main and not b.main else "good" if b.main else ""
+        if marked and b.label in ("good", "bad") and b.label != marked:
+            b.label, b.by = marked, "marks"
+
     for b in found:
-        n = len(b.text)
-        words = WORD.findall(b.text.lower())
-        density = sum(w in stop for w in words) / len(words) if words else 0.0
-        links = b.linked / max(1, sum(map(len, b.parts)))
-        if b.away or has_main and not b.main or links > (LINKS_IN_MAIN if b.main else LINKS):
-            b.label = "bad"
-        elif b.main:
-            b.label = "short" if n < SHORT and density < STOP_LOW else "good"
-        elif n < SHORT:
-            b.label = "short"
-        elif density >= STOP_HIGH:
-            b.label = "good" if n > LONG else "near"
-        else:
-            b.label = "near" if density >= STOP_LOW else "bad"
+        b.label, b.by = judged(b, stop)
+        overrule(b)
     first = [b.label for b in found]
-    decided = [i for i, x in enumerate(first) if x in ("good", "bad")]
+    before, after = _nearest(first), [(len(first) - 1 - i, x) if x else (i, x) for i, x in reversed(_nearest(first[::-1]))]
     for i, b in enumerate(found):
-        if b.label in ("good", "bad"):
+        if first[i] in ("good", "bad"):
             continue
-        # in the article what stands apart from it (comments, adverts) decides nothing
-        peers = [j for j in decided if found[j].main and not found[j].away] if b.main else decided
-        left = max((j for j in peers if j < i), default=None)
-        right = min((j for j in peers if j > i), default=None)
-        said = {first[j] for j in (left, right) if j is not None}
-        if len(said) == 2:
-            nearer = left if right is None or i - left < right - i else right if right - i < i - left else None
-            b.label = first[nearer] if nearer is not None else "good" if b.main or first[i] == "near" else "bad"
+        (l, left), (r, right) = before[i], after[i]
+        if left and right and left != right and i - l != r - i:
+            b.label = left if i - l < r - i else right
+        elif left and right and left != right:  # between text and none: a heading, or the last line
+            b.label = "good"
         else:
-            b.label = said.pop() if said else "good" if b.main or first[i] == "near" else "bad"
+            b.label = left or right or ("good" if first[i] == "near" else "bad")
+        b.by = "neighbours"
+        overrule(b)
+
+
+def _nearest(labels: list[str]) -> list[tuple[int, str]]:
+    """Of each place the last decided one before it, and its label."""
+    out, last = [], (-1, "")
+    for i, x in enumerate(labels):
+        out.append(last)
+        if x in ("good", "bad"):
+            last = (i, x)
+    return out
 
 
 def main_text(page: str) -> str:
@@ -187,8 +229,8 @@ def main_text(page: str) -> str:
 def extract(pages: DataFrame, keep: list[str], html_col: str = "html", text_col: str = "text") -> DataFrame:
     """The columns `keep` of each page, its main text and n_chars (code points).
 
-    Null or empty html gives empty text; broken or cut markup is read as far as it goes. Other
-    columns are dropped, so none can clash. Empty tables give no rows."""
+    Null or empty html gives empty text; broken or cut markup is read as far as it goes. Rows that
+    repeat come back as often. Other columns are dropped, so none can clash. Empty tables give no rows."""
     prepare(pages.sparkSession)
     schema = pages.select(keep).schema.add(text_col, "string")
 

@@ -204,6 +204,67 @@ def test_html_of_the_tables(spark, small):
         assert x["text"] == "\n\n".join(p for p in parts if p)
 
 
+def plain_labels(found, stop, article):
+    """Both passes and the marks, block by block, by looking at all others."""
+
+    def first(b):
+        ws = [w for w in re.findall(r"[^\W\d_]+", b.text.lower())]
+        share = sum(w in stop for w in ws) / len(ws) if ws else 0
+        if b.linked / max(1, len("".join(b.parts))) > 0.2 or re.match(r"(?i)(©|\(c\)|copyright\b)", b.text):
+            return "bad"
+        if len(b.text) < 70:
+            return "good" if len(ws) >= 4 and share >= 0.2 else "bad" if len(ws) >= 6 and share == 0 else "short"
+        return "good" if share >= 0.2 else "bad" if share < 0.07 else "near"
+
+    mark = ["bad" if b.away or article and not b.main else "good" if b.main else None for b in found]
+    labels = [first(b) for b in found]
+    one = [m if m and x in ("good", "bad") else x for m, x in zip(mark, labels, strict=True)]
+    out = list(one)
+    for i, x in enumerate(one):
+        if x in ("good", "bad"):
+            continue
+        near = {d: {one[j] for j in (i - d, i + d) if 0 <= j < len(one) and one[j] in ("good", "bad")} for d in range(1, len(one) + 1)}
+        said = next((v for v in near.values() if v), {"good"} if x == "near" else {"bad"})
+        out[i] = mark[i] or ("good" if "good" in said else "bad")
+    return out
+
+
+def bare(page):
+    """The page with nothing that names its parts."""
+    page = re.sub(r"<(/?)(article|main|section|nav|header|footer|aside)\b[^>]*>", r"<\1div>", page)
+    return re.sub(r"""\s(class|id|role)=("[^"]*"|'[^']*'|[^\s>]+)""", "", page)
+
+
+def test_html_block_rules(spark, small):
+    more = small.replace("sf0.001", "sf0.01")  # tables of words, which no stop word tells from menus, are a twentieth of the pages there
+    by, kept, hit, wanted = Counter(), 0, 0, 0
+    for (page,) in spark.read.parquet(f"{more if os.path.exists(more) else small}/pages.parquet").select("html").collect():
+        texts = []
+        for x in (page or "", bare(page or "")):
+            found, language = html_extract.blocks(x)
+            html_extract.classify(found, language)
+            assert [b.label for b in found] == plain_labels(found, html_extract.spoken(found, language), any(b.main and not b.away for b in found))
+            by.update(b.by for b in found)
+            texts.append(Counter(b.text for b in found if b.label == "good"))
+        assert texts[0] == Counter(b.text for b in html_extract.blocks(page or "")[0] if b.main and not b.away)
+        kept, hit, wanted = kept + texts[1].total(), hit + (texts[0] & texts[1]).total(), wanted + texts[0].total()
+    assert hit >= 0.9 * wanted and hit >= 0.9 * kept
+    assert by["density"] > 0.4 * by.total() and by["neighbours"] > 0 and by["marks"] < 0.15 * by.total()
+
+
+def test_html_links_in_an_article():
+    page = "<nav><a href=x>Home</a></nav><article><h2><a href=x>A linked heading</a></h2><p>The text of the article is here and it is for you.</p><p><a href=y>all of it a link</a></p></article>"
+    assert html_extract.main_text(page) == "A linked heading\n\nThe text of the article is here and it is for you.\n\nall of it a link"
+
+
+def test_html_of_odd_rows(spark):
+    rows = [(1, "u", None), (1, "u", None), (2, None, ""), (3, "w", "<p>" + "the words of it are for all " * 200_000), (4, "x", "<div>" * 5000 + "the words of it are for all")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("other"))
+    got = [(x["page_id"], x["n_chars"]) for x in html_extract.extract(df, ["page_id", "url"]).collect()]
+    assert sorted(got) == [(1, 0), (1, 0), (2, 0), (3, 5_599_999), (4, 27)]
+    assert html_extract.extract(df.limit(0), ["page_id", "url"]).count() == 0
+
+
 # 5
 
 
