@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACE, cut
@@ -21,8 +21,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     A frequent-items sketch (Misra-Gries family, error at most rows / TRACKED in a bucket) per
     digest bucket names at most BUCKETS * CANDIDATES digests. They are verified by an exact,
     map-side combined count; the winners (bounded by the same product) are broadcast and their
-    rows leave without a shuffle. All other digests are dealt by digest; by the sketch's bound no
-    such group is larger than a small share of the rows.
+    rows leave without a shuffle. All other digests are counted with map-side combining and
+    joined back by digest; no group of rows is brought together.
 
     Empty tables give no rows; other columns of `docs` are not read.
     """
@@ -44,8 +44,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         .select(F.unhex("t.item").alias("digest"))
     )
     hot = cut(rows.join(F.broadcast(named), "digest", "left_semi").groupBy("digest").agg(best.alias("best"), size.alias("group_size")).filter("group_size > 1"))
-    by = Window.partitionBy("digest")
-    cold = rows.join(F.broadcast(hot), "digest", "left_anti").select("*", best.over(by).alias("best"), size.over(by).alias("group_size"))
+    cold = rows.join(F.broadcast(hot.select("digest")), "digest", "left_anti")
+    groups = cold.groupBy("digest").agg(best.alias("best"), size.alias("group_size")).filter("group_size > 1")
+    alone = F.struct(-F.col("n_chars"), F.col("doc_id").isNull(), F.col("doc_id").alias("keep_id"), F.col("rid").alias("keep_rid"))
+    cold = cold.join(groups, "digest", "left").withColumns({"best": F.coalesce("best", alone), "group_size": F.coalesce("group_size", F.lit(1).cast("long"))})
     both = rows.join(F.broadcast(hot), "digest").select(cold.columns).unionAll(cold)
     return both.select(
         F.col("doc_id").alias(id_col),

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from .common import cut, words
 
 LEVELS = ["domain", "lang", "source"]
-#: Parts of the order of a leaf's epoch that are summed before any row is ranked.
-PARTS = 4096
+#: The order of a leaf's epoch is summed in 2**STEP parts, the part where its budget ends in as many
+#: again, and so on DEEP times before any row is ranked.
+STEP, DEEP = 8, 3
 #: Most leaves whose plan is broadcast; above it the same joins shuffle.
 LEAVES = 100_000
 UNKNOWN = "?"
@@ -53,8 +54,9 @@ def share(budget: float, wanted: dict[str, float], most: dict[str, float]) -> di
 
 
 def budgets(tokens: dict[tuple[str, ...], int], targets: Targets) -> dict[tuple[str, ...], float]:
-    """Tokens to take of each leaf. A node's most is the sum of its leaves' tokens times the
-    epochs, so a shortage stays among siblings until their common parent is full."""
+    """Tokens to take of each leaf, for trees at hand (`leaf_budgets` does the same in Spark). A
+    node's most is the sum of its leaves' tokens times the epochs, so a shortage stays among
+    siblings until their common parent is full."""
     most: dict[tuple[str, ...], float] = {}
     for leaf, n in tokens.items():
         for i in range(len(leaf) + 1):
@@ -75,36 +77,85 @@ def budgets(tokens: dict[tuple[str, ...], int], targets: Targets) -> dict[tuple[
     return out
 
 
+def _weight(targets: Targets, path: list[str], child: str) -> Column:
+    """Targets.weight as an expression on the columns of a path and a child."""
+
+    def of(weights: dict[str, float]) -> Column:
+        if not weights:
+            return F.lit(float(targets.other))
+        table = F.create_map(*[F.lit(x) for k, w in weights.items() for x in (k, float(w))])
+        return F.coalesce(F.try_element_at(table, F.col(child)), F.lit(float(targets.other)))
+
+    out = of(targets.weights.get(("*",) * len(path), {}))
+    for names, weights in targets.weights.items():
+        if path and len(names) == len(path) and set(names) != {"*"}:
+            here = F.lit(True)
+            for c, name in zip(path, names, strict=True):
+                here = here & (F.col(c) == name)
+            out = F.when(here, of(weights)).otherwise(out)
+    return out
+
+
+def leaf_budgets(totals: DataFrame, targets: Targets) -> DataFrame:
+    """`budgets` of leaves (domain, lang, source, n) as column budget, planned in Spark.
+
+    Level by level the children of a node are ordered by how soon their weight fills them; a child
+    is full if the budget covers all that fill before it and as much for the weight of the rest,
+    and what full ones leave is shared by weight among the others."""
+    tree = totals.select(*LEVELS, "n", (F.col("n") * float(targets.epochs)).alias("most"))
+    now = None
+    for i, child in enumerate(LEVELS):
+        path = LEVELS[:i]
+        rows = tree.groupBy(*path, child).agg(F.sum("most").alias("most"), F.sum("n").alias("n"))
+        by = Window.partitionBy(path or F.lit(0))
+        if now is None:
+            rows = rows.withColumn("budget", F.sum("n").over(by) * float(targets.ratio))
+        else:
+            rows = rows.join(now, path)
+        rows = rows.withColumn("w", _weight(targets, path, child)).withColumn("open", (F.col("w") > 0) & (F.col("most") > 0))
+        used = lambda c: F.when(F.col("open"), F.col(c)).otherwise(0.0)
+        order = by.orderBy(F.col("open").desc(), F.col("most") / F.when(F.col("open"), F.col("w")), child)
+        before = F.coalesce(F.sum(used("most")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+        behind = F.sum(used("w")).over(order.rowsBetween(0, Window.unboundedFollowing))
+        rows = rows.withColumn("full", F.col("open") & (before + F.col("most") / F.col("w") * behind <= F.col("budget")))
+        left = F.col("budget") - F.sum(F.when(F.col("full"), F.col("most")).otherwise(0.0)).over(by)
+        rest = F.sum(F.when(F.col("open") & ~F.col("full"), F.col("w"))).over(by)
+        got = F.when(F.col("full"), F.col("most")).when(F.col("open"), left * F.col("w") / rest).otherwise(0.0)
+        now = rows.select(*path, child, got.alias("budget"))
+    return totals.join(now, LEVELS)
+
+
 def plan(rows: DataFrame, targets: Targets) -> DataFrame:
     """Of rows (domain, lang, source, id, n): per leaf the full epochs, and the last place (hash,
     id) of the token-prefix of one more epoch in its seeded order; null if that is empty.
 
-    The leaf totals, one row for each source of a language, are collected: their number is that
-    of the stated tree, not of the documents. A leaf's order is first summed by PARTS of the hash
-    range with map-side combining; only rows of the part where the budget ends are ranked."""
-    spark = rows.sparkSession
-    totals = rows.groupBy(LEVELS).agg(F.sum("n").alias("n")).collect()
-    tokens = {tuple(r[c] for c in LEVELS): int(r["n"] or 0) for r in totals}
-    todo = []
-    for leaf, budget in budgets(tokens, targets).items():
-        n = tokens[leaf]
-        full = min(targets.epochs, int(budget // n)) if n else 0
-        todo.append((*leaf, full, int(round(budget - full * n)) if full < targets.epochs else 0))
-    leaves = cut(spark.createDataFrame(todo, "domain string, lang string, source string, full int, rest long"))
-    sent = F.broadcast if len(todo) <= LEAVES else lambda df: df
-    hashed = rows.join(sent(leaves), LEVELS).filter("rest > 0").withColumn("h", F.xxhash64(F.lit(targets.seed), F.col("full"), F.col("id")))
-    hashed = hashed.withColumn("part", F.shiftrightunsigned("h", 52).cast("int"))
-    sums = hashed.groupBy(*LEVELS, "rest", "part").agg(F.sum("n").alias("n"), F.max(F.struct(F.shiftrightunsigned("h", 1).alias("o"), "h", "id")).alias("end"))
-    running = Window.partitionBy(LEVELS).orderBy("part")
-    sums = cut(sums.withColumn("upto", F.sum("n").over(running)))
-    whole = sums.filter("upto <= rest").groupBy(LEVELS).agg(F.max("end").alias("whole_end"))
-    edge = sums.filter("upto > rest and upto - n < rest").select(*LEVELS, "part", (F.col("upto") - F.col("n")).alias("before"))
+    A leaf's order is summed in parts of the hash range with map-side combining, then the part
+    where its budget ends again; so no more than 2**STEP parts of a leaf come together, and only
+    rows of the last part, one of 2**(STEP * DEEP), are ranked."""
+    totals = cut(rows.groupBy(LEVELS).agg(F.sum("n").alias("n")))
+    leaves = leaf_budgets(totals, targets).withColumn("full", F.when(F.col("n") > 0, F.least(F.lit(targets.epochs), F.floor(F.col("budget") / F.col("n")))).otherwise(0).cast("int"))
+    rest = F.when((F.col("full") < targets.epochs) & (F.col("n") > 0), F.bround(F.col("budget") - F.col("full") * F.col("n"))).otherwise(0).cast("long")
+    leaves = cut(leaves.select(*LEVELS, "full", rest.alias("rest")))
+    sent = F.broadcast if leaves.limit(LEAVES + 1).count() <= LEAVES else lambda df: df
     place = F.struct(F.shiftrightunsigned("h", 1).alias("o"), "h", "id")
-    ranked = hashed.join(sent(edge), [*LEVELS, "part"]).withColumn("end", place)
+    now = rows.join(sent(leaves), LEVELS).filter("rest > 0").withColumn("h", F.xxhash64(F.lit(targets.seed), F.col("full"), F.col("id")))
+    now, ends = now.select(*LEVELS, "rest", "h", "id", "n", F.lit(0).cast("long").alias("before")), []
+    for level in range(1, DEEP + 1):
+        part = F.shiftrightunsigned("h", 64 - STEP * level).bitwiseAND(F.lit((1 << STEP) - 1)).cast("int")
+        now = now.withColumn("part", part)
+        sums = now.groupBy(*LEVELS, "rest", "before", "part").agg(F.sum("n").alias("n"), F.max(place).alias("end"))
+        sums = cut(sums.withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy(LEVELS).orderBy("part"))))
+        ends.append(sums.filter("upto <= rest").select(*LEVELS, "end"))
+        edge = sums.filter("upto > rest and upto - n < rest").select(*LEVELS, "part", (F.col("upto") - F.col("n")).alias("before"))
+        now = now.drop("before").join(sent(edge), [*LEVELS, "part"]).drop("part")
+    ranked = now.withColumn("end", place)
     ranked = ranked.withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy(LEVELS).orderBy("end")))
-    part = ranked.filter("upto <= rest").groupBy(LEVELS).agg(F.max("end").alias("part_end"))
-    out = leaves.join(whole, LEVELS, "left").join(part, LEVELS, "left")
-    return cut(out.select(*LEVELS, "full", F.greatest("whole_end", "part_end").alias("end")))
+    ends.append(ranked.filter("upto <= rest").select(*LEVELS, "end"))
+    found = ends[0]
+    for e in ends[1:]:
+        found = found.unionAll(e)
+    last = found.groupBy(LEVELS).agg(F.max("end").alias("end"))
+    return cut(leaves.join(last, LEVELS, "left").select(*LEVELS, "full", "end"))
 
 
 def mix(docs: DataFrame, targets: Targets, domain: Column, tokens: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -113,7 +164,7 @@ def mix(docs: DataFrame, targets: Targets, domain: Column, tokens: Column | None
 
     `tokens` measures a row (default: words of the text; null text has none). Null domain, lang or
     source is the child "?". Rows that repeat an id stand or fall together; null ids are ordered
-    by a fixed hash. A leaf with no tokens is taken in no epoch. Columns of `docs` named domain,
+    by a fixed hash, so rows of equal place come together or not at all. A leaf with no tokens is taken in no epoch. Columns of `docs` named domain,
     epoch or n_tokens are replaced; empty tables give no rows."""
     measure = (F.size(words(F.coalesce(F.col(text_col), F.lit("")))) if tokens is None else tokens).cast("long")
     leaf = [F.coalesce(x, F.lit(UNKNOWN)).alias(c) for x, c in zip((domain, F.col("lang"), F.col("source")), LEVELS, strict=True)]

@@ -29,6 +29,19 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _plain(spec: dict) -> bool:
+    """Whether ranks are the ids of the vocabulary and the settings are those that Counter's own
+    splitting stands for: bytes split by PATTERN, merges in the order of their ids, and special
+    strings found as they are."""
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    merged = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+    ids = [model["vocab"].get(m, -1) for m in merged]
+    settings = [spec.get("normalizer"), model.get("dropout"), model.get("unk_token"), model.get("continuing_subword_prefix"), model.get("end_of_word_suffix")]
+    settings += [model.get("fuse_unk"), model.get("byte_fallback"), model.get("ignore_merges"), before.get("add_prefix_space", True), not before.get("use_regex", True)]
+    added = [x[k] for x in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")]
+    return model["type"] == "BPE" and before.get("type") == "ByteLevel" and not any(settings) and not any(added) and ids == sorted(ids) and min(ids, default=0) >= 0
+
+
 class Counter:
     """Counts tokens as the tokenizers library does for a byte-level BPE file: its special
     strings inside texts are one token each, no tokens are added around a text."""
@@ -38,6 +51,14 @@ class Counter:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self.whole = None
+        if not _plain(spec):
+            import tokenizers
+
+            self.whole = tokenizers.Tokenizer.from_file(path)
+            self.whole.no_truncation()
+            self.whole.no_padding()
+            return
         symbols = byte_symbols()
         special = [x["content"] for x in spec["added_tokens"]]
         ranks = {bytes(symbols[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in set(special)}
@@ -57,6 +78,8 @@ class Counter:
         return out, len(parts) - 1
 
     def counts(self, given: list[str]) -> list[int]:
+        if self.whole is not None:  # a file of other settings: the library itself
+            return [len(self.whole.encode(text, add_special_tokens=False).ids) for text in given]
         total, batch, owners, held = [0] * len(given), [], [], 0
 
         def flush() -> None:
@@ -69,7 +92,7 @@ class Counter:
             for part in parts:
                 batch.append(part)
                 owners.append(i)
-                held += len(part)
+                held += len(part) if part.isascii() else len(part.encode("utf-8", "surrogatepass"))
                 if held >= BATCH:
                     flush()
                     batch, owners, held = [], [], 0
@@ -87,8 +110,11 @@ def counter(path: str) -> Counter:
 def token_counts(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit).
 
-    Null texts count as empty. The file at `path` is read on each executor. Texts are encoded in
-    batches of equal bytes, long ones in parts cut at safe places, and only lengths leave Python.
+    Null texts count as empty; rows that repeat come back as often; other columns are not read, so
+    none can clash; empty tables give no rows. The file at `path` is read on each executor. Texts
+    are encoded in batches of equal bytes, long ones in parts cut at safe places (a text without
+    one is a single part), and only lengths leave Python. A file whose settings are not those of
+    plain byte-level BPE is counted by the tokenizers library itself.
     """
     prepare(docs.sparkSession)
     schema = docs.select(id_col).schema.add("n_bytes", "long").add("n_tokens", "long")

@@ -597,6 +597,23 @@ def test_shares_go_to_siblings_first():
     assert got == pytest.approx({leaf("a", "x"): 10, leaf("a", "y"): 30, leaf("b", "x"): 130})
 
 
+def test_leaf_budgets_in_spark_are_the_plain_ones(spark):
+    r = random.Random(6)
+    for _ in range(4):
+        tree = {(f"d{a}", f"l{b}", f"s{c}"): r.choice((0, 1, 7, 50, 400, 9000)) for a in range(3) for b in range(r.randint(1, 4)) for c in range(r.randint(1, 5))}
+        targets = mixing.Targets({(): {"d0": 0.5, "d1": 0.0}, ("*",): {"l0": 0.7}, ("d2",): {"l1": 3.0, "l2": 0.0}, ("*", "*"): {"s1": 5.0}}, other=0.5, ratio=r.choice((0.3, 1.0, 2.5)), epochs=r.choice((1, 3)))
+        totals = spark.createDataFrame([(*k, n) for k, n in tree.items()], "domain string, lang string, source string, n long")
+        got = {(x["domain"], x["lang"], x["source"]): x["budget"] for x in mixing.leaf_budgets(totals, targets).collect()}
+        assert got == pytest.approx(mixing.budgets(tree, targets))
+
+
+def test_token_counts_of_other_settings():
+    tool = tokenizers.Tokenizer.from_file(WORD)
+    counter = token_counts.Counter(WORD)  # lower-cases and marks word ends
+    assert counter.whole is not None and token_counts.Counter(BYTE).whole is None
+    assert counter.counts(["Some WORDS here", ""]) == [len(tool.encode(t, add_special_tokens=False).ids) for t in ("Some WORDS here", "")]
+
+
 def test_mix_takes_prefixes_of_seeded_epochs(spark):
     r = random.Random(8)
     texts = [None, ""] + [" ".join("w" for _ in range(r.randint(1, 30))) for _ in range(400)]
