@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from .common import cut, prepare
 
 
+#: Most edges whose components one task finds.
+FEW = 1_000_000
+
+
 class Sets:
     """Union-find over 0..n-1; the smallest member is the root."""
 
@@ -53,16 +57,27 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The stars of all of a task's edges."""
+    given = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if given:
+        a, b = forest(*(np.concatenate([g[i] for g in given]) for i in (0, 1)))
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def components(edges: DataFrame, few: int = FEW) -> DataFrame:
     """(a, b): of each vertex that is not the smallest of its component, that smallest one.
 
-    Edges (a, b) in any order, repeated or with a = b. Batches are contracted on the map side;
-    then alternating large and small stars run until nothing changes, each cut by a checkpoint.
+    Edges (a, b) in any order, repeated or with a = b; none give none. Batches are contracted on the
+    map side; at most `few` edges are then one task's work (16 bytes each). Of more,
+    alternating large and small stars run until nothing changes, each cut by a checkpoint.
     A vertex with very many edges is one key of joins that are split at runtime; none of its
     edges are gathered."""
     prepare(edges.sparkSession)
     e = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     e = cut(e.mapInArrow(_contract, "a long, b long").distinct())
+    if e.limit(few + 1).count() <= few:
+        return cut(e.coalesce(1).mapInArrow(_whole, "a long, b long"))
     before = None
     while True:
         now = e.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40)))).first()

@@ -258,8 +258,8 @@ def survivors(rows: DataFrame, hot: Broadcast, size: int, name: Callable[[], Cal
     return found.groupBy("key").agg(F.sum("shared").alias("shared"), F.max("need").alias("need")).filter("shared >= need").select("key")
 
 
-def cell_edges(sets: DataFrame, hot: Broadcast, t: tuple[int, int], total: int) -> DataFrame:
-    """Edges (a, b) between names of sets with a common shingle in their prefixes. Shingles are
+def postings(sets: DataFrame, hot: Broadcast, t: tuple[int, int], total: int) -> DataFrame:
+    """(member, key): the shingles in prefixes of sets, but those of one set alone. Shingles are
     ordered by how many of the sets hold them, frequent ones last; a prefix is one longer than
     what a linked set may lack, so linked sets share a member of both prefixes."""
     bits, lack = _bits(total, BUCKET), _slackness(t)
@@ -322,9 +322,34 @@ def cell_edges(sets: DataFrame, hot: Broadcast, t: tuple[int, int], total: int)
 
     dealt = sets.select("key", "members").mapInArrow(lean(emit), BLOBS).groupBy("bucket").applyInArrow(counted, "bucket int, what string, keys binary, values binary, counts binary")
     found = dealt.groupBy("bucket").applyInArrow(prefixes, "member long, key long")
-    found = cut(found.unionAll(sets.select("key", "members").mapInArrow(lean(last), "member long, key long")))
-    least = found.groupBy("member").agg(F.min("key").alias("b"))
-    return found.join(least, "member").select(F.col("key").alias("a"), "b").filter("a <> b").distinct()
+    return cut(found.unionAll(sets.select("key", "members").mapInArrow(lean(last), "member long, key long")))
+
+
+def _stars(posts: DataFrame) -> DataFrame:
+    """Edges (a, b) from each row of a group to the smallest; they connect what shares a group."""
+    least = posts.groupBy("member").agg(F.min("key").alias("b"))
+    return posts.join(least, "member").select(F.col("key").alias("a"), "b").filter("a <> b").distinct()
+
+
+def first_links(posts: DataFrame, sets: DataFrame, t: tuple[int, int], rounds: int = 2) -> tuple[list[DataFrame], DataFrame]:
+    """Links of the first rounds of pivots, and of the rows (member, key) those in groups that they
+    do not connect, with the root of each key.
+
+    A group's pivot is its smallest row. In a round each row is compared with one pivot that it
+    is not connected with, so a round makes one comparison a row at most, and copies of one text
+    are connected before any cell is gathered."""
+    edges, links, roots = cut(_stars(posts)), [], None
+    for turn in range(rounds):
+        open_ = edges
+        if roots is not None:
+            open_ = open_.join(roots.withColumnsRenamed({"key": "a", "root": "x"}), "a", "left").join(roots.withColumnsRenamed({"key": "b", "root": "y"}), "b", "left")
+            open_ = open_.filter(F.coalesce("x", "a") != F.coalesce("y", "b"))
+        one = F.min("b") if turn == 0 else F.min_by("b", F.xxhash64("b", F.lit(turn)))
+        links.append(cut(compare(cut(open_.groupBy("a").agg(one.alias("b"))), sets, t).filter("link").select("a", "b")))
+        roots = cut(components(_union(links)).withColumnsRenamed({"a": "key", "b": "root"}))
+    rooted = cut(posts.join(roots, "key", "left").select("member", "key", F.coalesce("root", "key").alias("root")))
+    several = rooted.groupBy("member").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("member")
+    return links, cut(rooted.join(several, "member", "left_semi"))
 
 
 def _salted(edges: DataFrame, bound: int = 1000) -> tuple[DataFrame, DataFrame]:
@@ -459,23 +484,21 @@ def jaccard_join(docs: DataFrame, threshold: tuple[int, int] = (75, 100), size:
     sets = cut(with_ids(picked.mapInArrow(lean(_sets(size, name), _forget), "key long, members array<bigint>"), alive.select("key"), "left_semi").dropDuplicates(["key"]))
     total = alive.agg(F.sum("n")).first()[0] or 0
 
-    edges = cut(cell_edges(sets, hot, threshold, total))
-    links = [cut(compare(edges, sets, threshold).filter("link").select("a", "b"))]
-    roots = components(links[0]).withColumnsRenamed({"a": "key", "b": "root"})
-    cells = components(edges).withColumnsRenamed({"a": "key", "b": "cell"})
-    cells = cells.unionAll(cells.select("cell", "cell").distinct()).join(alive, "key").join(roots, "key", "left")
-    cells = cut(cells.select("key", "cell", "n", F.coalesce("root", "key").alias("root")))
-    sizes = cells.groupBy("cell").agg(F.sum("n").alias("total"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-    sizes = cut(sizes.filter("lo < hi").select("cell", "total"))  # links connect all of the other cells
-    large = sizes.filter(F.col("total") > cell)
-    members = sets.join(cells.join(sizes.select("cell"), "cell", "left_semi").select("key", "cell"), "key").select("cell", "key", "members")
-    if not large.isEmpty():
-        parts, more = split_cells(members.join(large.select("cell"), "cell", "left_semi"), cut(large), threshold, cell)
-        links += more
-        members = members.join(large.select("cell"), "cell", "left_anti").unionAll(parts)
-    packs = 8 * int((sizes.agg(F.sum("total")).first()[0] or 0) // cell) + 64
-    dealt = members.join(cells.select("key", "root"), "key").withColumn("pack", F.pmod(F.xxhash64("cell"), F.lit(packs)))
-    links.append(dealt.groupBy("pack").applyInArrow(cell_links(threshold), "a long, b long"))
+    links, live = first_links(postings(sets, hot, threshold, total), sets, threshold)
+    if not live.isEmpty():
+        cells = components(_stars(live)).withColumnsRenamed({"a": "key", "b": "cell"})
+        cells = cells.unionAll(cells.select("cell", "cell").distinct()).join(live.select("key", "root").distinct(), "key")
+        cells = cut(cells.join(alive.select("key", "n"), "key").select("key", "cell", "n", "root"))
+        sizes = cut(cells.groupBy("cell").agg(F.sum("n").alias("total")))
+        large = sizes.filter(F.col("total") > cell)
+        members = sets.join(cells.select("key", "cell"), "key").select("cell", "key", "members")
+        if not large.isEmpty():
+            parts, more = split_cells(members.join(large.select("cell"), "cell", "left_semi"), cut(large), threshold, cell)
+            links += more
+            members = members.join(large.select("cell"), "cell", "left_anti").unionAll(parts)
+        packs = 8 * int(sizes.agg(F.sum("total")).first()[0] // cell) + 64
+        dealt = members.join(cells.select("key", "root"), "key").withColumn("pack", F.pmod(F.xxhash64("cell"), F.lit(packs)))
+        links.append(dealt.groupBy("pack").applyInArrow(cell_links(threshold), "a long, b long"))
 
     found = components(_union(links)).withColumnsRenamed({"a": "key", "b": "root"})
     found = found.unionAll(found.select("root", "root").distinct())

@@ -412,10 +412,11 @@ def test_split_cells_keep_pivots_of_other_cells(spark, monkeypatch):
     assert len({root(i) for i in range(len(sets))}) == 1
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 1_000_000])
+def test_components(spark, few):
     r = random.Random(9)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(70)] + [(5000, 5001 + i) for i in range(200)]
-    got = {x["a"]: x["b"] for x in components(spark.createDataFrame(edges, "a long, b long").repartition(7)).collect()}
+    got = {x["a"]: x["b"] for x in components(spark.createDataFrame(edges, "a long, b long").repartition(7), few).collect()}
     parent = {}
 
     def root(i):
@@ -433,6 +434,7 @@ def test_jaccard_join_repeats_and_empty(spark):
     same = jaccard_join.jaccard_join(docs(spark, ["a b c d e f", "a b c d e f", "a b c d e f", None], [9, 9, 4, None])).collect()
     assert sorted((x["doc_id"] or 0, x["component_id"]) for x in same) == [(0, None), (4, 4), (9, 4), (9, 4)]
     assert jaccard_join.jaccard_join(docs(spark, ["x"]).limit(0)).count() == 0
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 # 8
