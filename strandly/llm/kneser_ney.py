@@ -246,7 +246,8 @@ def classify(
     """One row per input row: id, lang, n_units, perplexity, kept, bound_of.
 
     A model per language is trained on half of the trusted documents (by a hash of the id); the
-    other half sets the bounds, see `thresholds`. kept means a perplexity and a share of
+    other half sets the bounds, see `thresholds`, so that a share of q of clean text stays: each of
+    the two is at the quantile 1 - (1 - q) / 2. kept means a perplexity and a share of
     repeated words up to the bounds: a few characters do not see that words come again.
     Perplexity is per UTF-16 unit and the end mark. Null or empty text has none and is not kept;
     null language is "?". Rows that repeat an id are scored one by one; other columns are not
@@ -277,6 +278,6 @@ def classify(
     rest = rest.join(scores.select("lang", "gram", "logp"), ["lang", "gram"]).groupBy("rid").agg(F.sum(F.col("c") * F.col("logp")).alias("tail"))
     done = done.join(rest, "rid", "left").withColumn("x", -(F.col("head") + F.coalesce("tail", F.lit(0.0))) / F.nullif(F.col("units"), F.lit(0)))
     done = cut(done.select("id", "lang", "use", "units", "x", "same"))
-    bounds = cut(thresholds(done, q, least))
+    bounds = cut(thresholds(done, 1 - (1 - q) / 2, least))  # two bounds share what may be lost
     kept = F.coalesce((F.col("x") <= F.col("hi")) & (F.col("same") <= F.col("most")), F.lit(False))
     return with_ids(done, bounds, "inner").select(F.col("id").alias(id_col), "lang", F.col("units").alias("n_units"), F.exp("x").alias("perplexity"), kept.alias("kept"), "bound_of")
