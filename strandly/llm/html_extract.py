@@ -37,6 +37,7 @@ STOP = {
     "fr": "de la le et les des en un du une que est pour qui dans a par plus pas au sur ne se ce il sont la avec son ou aux mais comme elle ses sa cette".split(),
     "es": "de la que el en y a los se del las un por con no una su para es al lo como más o pero sus le ha me si sin sobre este ya entre cuando todo esta".split(),
 }
+SETS = {name: frozenset(ws) for name, ws in STOP.items()}
 ALL_STOP = frozenset(w for ws in STOP.values() for w in ws)
 #: Limits of the first pass: characters; words of a short block that speak for it, and that speak
 #: against it if none is a stop word; share of stop words; share of characters in links.
@@ -54,6 +55,8 @@ class Block:
     away: bool = False
     text: str = ""
     label: str = ""
+    size: int = 0
+    stops: list[str] = field(default_factory=list)
     #: What decided: "density", "links", "notice", "neighbours" or "marks".
     by: str = ""
 
@@ -146,31 +149,38 @@ def blocks(page: str) -> tuple[list[Block], str]:
     return out, language
 
 
+def counted(b: Block) -> None:
+    """Counts a block's words, and keeps those that are stop words of any language."""
+    if not b.size and b.text:
+        words = WORD.findall(b.text.lower())
+        b.size, b.stops = len(words), list(filter(ALL_STOP.__contains__, words))
+
+
 def spoken(found: list[Block], language: str) -> frozenset[str]:
     """The stop words of the language that most of the page's words outside links are of; of equal
     ones the page's own."""
     counts = dict.fromkeys(STOP, 0)
     for b in found:
         if not b.linked:
-            words = WORD.findall(b.text.lower())
-            for name, own in STOP.items():
-                counts[name] += sum(w in own for w in words)
+            counted(b)
+            for name, own in SETS.items():
+                counts[name] += len(list(filter(own.__contains__, b.stops)))
     best = max(STOP, key=lambda name: (counts[name], name == language))
-    return frozenset(STOP[best]) if counts[best] else ALL_STOP
+    return SETS[best] if counts[best] else ALL_STOP
 
 
 def judged(b: Block, stop: frozenset[str]) -> tuple[str, str]:
     """First pass: label and what decided, from the block alone; "short" and "near" are undecided."""
-    words = WORD.findall(b.text.lower())
-    density = sum(w in stop for w in words) / len(words) if words else 0.0
     if b.linked > LINKS * max(1, sum(map(len, b.parts))):
         return "bad", "links"
     if NOTICE.match(b.text):
         return "bad", "notice"
+    counted(b)
+    density = len(list(filter(stop.__contains__, b.stops))) / b.size if b.size else 0.0
     if len(b.text) < SHORT:
-        if len(words) >= SOME and density >= STOP_HIGH:
+        if b.size >= SOME and density >= STOP_HIGH:
             return "good", "density"
-        return ("bad", "density") if len(words) >= SEVERAL and not density else ("short", "")
+        return ("bad", "density") if b.size >= SEVERAL and not density else ("short", "")
     if density >= STOP_HIGH or density < STOP_LOW:
         return "good" if density >= STOP_HIGH else "bad", "density"
     return "near", ""
