@@ -112,11 +112,14 @@ def by_sample(records: DataFrame, samples: Sequence[str], quality: int | None =
         counts += [F.count_if(own & (F.col("cls") == k)).alias(f"{state}_{k}") for k in (A.MNP, A.INS, A.DEL, A.COMPLEX)]
     called = carries & z.isin("het", "hom_alt") & (F.col("snp_arity") == 2)
     for kind in ("deam", "am"):
-        counts.append(F.count_if(called & A.base_change(F.col("nref"), F.col("nalt"), kind)).alias(kind))
+        hit = called & A.base_change(F.col("nref"), F.col("nalt"), kind)
+        counts += [F.count_if(hit & known()).alias(f"known_{kind}"), F.count_if(hit & ~known()).alias(f"novel_{kind}")]
     out = rows.groupBy("sample").agg(*counts)
     ts = sum((F.col(f"{k}_{s}_ts") for k in ("known", "novel") for s in ("het", "hom")), F.lit(0))
     tv = sum((F.col(f"{k}_{s}_tv") for k in ("known", "novel") for s in ("het", "hom")), F.lit(0))
-    return out.select("*", ratio(ts, tv).alias("tstv"), ratio(F.col("deam"), F.col("am")).alias("deam_am"))
+    seen = sum((F.col(f"known_{s}_{k}") for s in ("het", "hom") for k in ("ts", "tv")), F.lit(0))
+    deam_am = ratio(F.col("known_deam") + F.col("novel_deam"), F.col("known_am") + F.col("novel_am"))
+    return out.select("*", ratio(seen, ts + tv, 100.0).alias("pct_dbsnp"), ratio(ts, tv).alias("tstv"), deam_am.alias("deam_am"))
 
 
 def spectrum(alleles: DataFrame, key: Column, name: str) -> DataFrame:

@@ -56,6 +56,12 @@ VARIANT = {
     "format": f"'{FORMAT}'",
     **{s: _sample(i) for i, s in enumerate(SAMPLES, 1)},
 }
+#: Samples whose fields have a value for each allele (AO), that and the reference (AD), or each genotype (GL).
+_VALUES = lambda first, n: f"concat(cast({first} as int), case when {n} > 1 then concat(',', cast({first} + 1 as int)) else '' end, case when {n} > 2 then concat(',', cast({first} + 2 as int)) else '' end)"
+NUMBERED = {
+    "format": "'GT:AO:AD:GL'",
+    **{s: f"case when (l_partkey + {i}) % 6 = 5 then '.' else concat(case (l_partkey + {i}) % 6 when 0 then '0/0' when 1 then '0/1' when 2 then '1/1' when 3 then './.' else '1|0' end, ':', {_VALUES('l_linenumber', N_ALT)}, ':', cast(l_quantity as int), ',', {_VALUES('l_linenumber * 3', N_ALT)}, ':0.1,0.2,0.7') end" for i, s in enumerate(SAMPLES, 1)},
+}
 A_ROWS, B_ROWS = "l_orderkey % 3 <> 0", "l_orderkey % 3 <> 1"
 #: In call set B some records have another allele at the same place.
 B_ALT = f"case when {K} in (0, 1) and l_suppkey % 5 = 0 then {B3} else {_case(1)} end"
@@ -98,6 +104,10 @@ def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "lineitem").selectExpr(*_derived(VARIANT))
 
 
+def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "lineitem").selectExpr(*_derived(VARIANT | NUMBERED))
+
+
 def calls_a(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "lineitem", A_ROWS).selectExpr(*_derived(VARIANT))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .derived import A_ROWS, B_ALT, B_ROWS, INTERVAL, SAMPLES, VARIANT, listed
+from .derived import A_ROWS, B_ALT, B_ROWS, INTERVAL, NUMBERED, SAMPLES, VARIANT, listed
 
 V = f"variants AS MATERIALIZED (SELECT {listed(VARIANT)} FROM lineitem)"
 CA = f"calls_a AS MATERIALIZED (SELECT {listed(VARIANT)} FROM lineitem WHERE {A_ROWS})"
@@ -113,6 +113,18 @@ def gt_kept(s: str) -> str:
     return f"CASE WHEN whole OR {s} = '.' THEN {s} ELSE concat({one(f'substr({g}, 1, 1)')}, substr({g}, 2, 1), {one(f'substr({g}, 3, 1)')}, ':', string_split({s}, ':')[2]) END AS {s}"
 
 
+def sample_numbers(s: str) -> str:
+    """A sample of NUMBERED after alleles were removed: GT anew, AO by allele, AD with the reference, GL gone."""
+    part = lambda i: f"string_split({s}, ':')[{i}]"
+    one = lambda c: f"CASE WHEN {c} = '1' THEN CASE WHEN keep[1] THEN '1' ELSE '.' END ELSE {c} END"
+    own = lambda v, by: f"array_to_string(list_filter(string_split({v}, ','), lambda y, i: {by}), ',')"
+    ao = own(part(2), "keep[i]")
+    return f"""CASE WHEN whole OR {s} = '.' THEN {s} ELSE concat({one(f"substr({part(1)}, 1, 1)")}, substr({part(1)}, 2, 1), {one(f"substr({part(1)}, 3, 1)")}, ':',
+CASE WHEN {ao} = '' THEN '.' ELSE {ao} END, ':', {own(part(3), "i = 1 OR keep[i - 1]")}, ':.') END AS {s}"""
+
+
+#: Text lines of the call set, and of the intervals.
+LINE = "concat_ws(chr(9), chrom, pos::varchar, rsid, ref, alt, qual::int::varchar, flt, info, format, " + ", ".join(SAMPLES) + ")"
 CARRIES = "(list_contains(regexp_split_to_array(gt, '[/|]'), (aid + 1)::varchar))"
 
 
@@ -125,10 +137,11 @@ def by_sample() -> str:
             for who, op in (("known", "<>"), ("novel", "=")):
                 counts.append(f"count(*) FILTER ({CARRIES} AND z = '{z}' AND snp_arity = 2 AND {c[kind]} AND rsid {op} '.') AS {who}_{state}_{kind}")
         counts += [f"count(*) FILTER ({CARRIES} AND z = '{z}' AND cls = '{k}') AS {state}_{k}" for k in ("mnp", "ins", "del", "complex")]
-    counts += [f"count(*) FILTER ({CARRIES} AND z IN ('het', 'hom_alt') AND snp_arity = 2 AND {c[k]}) AS {k}" for k in ("deam", "am")]
+    counts += [f"count(*) FILTER ({CARRIES} AND z IN ('het', 'hom_alt') AND snp_arity = 2 AND {c[k]} AND rsid {op} '.') AS {who}_{k}" for k in ("deam", "am") for who, op in (("known", "<>"), ("novel", "="))]
+    seen = " + ".join(f"known_{s}_{k}" for s in ("het", "hom") for k in ("ts", "tv"))
     total = lambda k: " + ".join(f"{w}_{s}_{k}" for w in ("known", "novel") for s in ("het", "hom"))
     return f"""{AL}, r AS ({rows}), z AS (SELECT *, {zyg('gt')} AS z FROM r WHERE gq IS NULL OR gq >= 20),
-g AS (SELECT sample, {', '.join(counts)} FROM z GROUP BY sample) SELECT *, {div(total('ts'), total('tv'))} AS tstv, {div('deam', 'am')} AS deam_am FROM g"""
+g AS (SELECT sample, {', '.join(counts)} FROM z GROUP BY sample) SELECT *, {div(seen, f"{total('ts')} + {total('tv')}", '100.0')} AS pct_dbsnp, {div(total('ts'), total('tv'))} AS tstv, {div('known_deam + novel_deam', 'known_am + novel_am')} AS deam_am FROM g"""
 
 
 def spectrum(key: str, name: str) -> str:
@@ -247,5 +260,21 @@ UNION ALL SELECT 'AC', CAST(string_split(regexp_extract(info, 'AC=([^;]*)', 1),
 SELECT tag, value, count(*) AS n FROM u GROUP BY tag, value""",
     "modify_info_number_a": f"{AL}, {kept('(' + repr('snp') + ', ' + repr('mnp') + ')')} SELECT record_id, {ALT}, {info_kept()} FROM m",
     "modify_genotypes": f"{AL}, {kept('(' + repr('snp') + ', ' + repr('mnp') + ')')} SELECT record_id, {', '.join(map(gt_kept, SAMPLES))} FROM m",
+    "modify_genotype_numbers": f"""WITH {V.replace(listed(VARIANT), listed(VARIANT | NUMBERED))}, {alleles('variants', 'al')}, {kept('(' + repr('snp') + ', ' + repr('mnp') + ')')}
+SELECT record_id, {', '.join(map(sample_numbers, SAMPLES))} FROM m""",
+    "read_vcf_text": f"WITH {V} SELECT chrom, pos, rsid, ref, alt, qual, flt, info, format, {', '.join(SAMPLES)} FROM variants",
+    "write_vcf_text": f"WITH {V} SELECT record_id, {LINE} AS value FROM variants",
+    "read_bed_text": f"WITH {IV} SELECT * FROM iv",
+    "validate_records": f"""WITH {V} SELECT record_id, chrom, pos, NULL::varchar AS sample, CASE WHEN rule = 0 THEN 'POS' ELSE 'QUAL' END AS field, 'type' AS rule,
+CASE WHEN rule = 0 THEN 'not a whole number' ELSE 'not a number' END AS message FROM (SELECT record_id, chrom, CASE WHEN record_id % 7 = 0 THEN 0 ELSE pos END AS pos, unnest(list_concat(CASE WHEN record_id % 7 = 0 THEN [0] ELSE [] END, CASE WHEN record_id % 11 = 0 THEN [1] ELSE [] END)) AS rule FROM variants)""",
+    "validate_intervals": f"WITH {IV} SELECT chrom, s, s - 2 AS e, name FROM iv WHERE s % 5 = 0",
+    "validate_structural": f"{AL} SELECT record_id, chrom, npos, aid::int AS aid, allele, cls FROM al WHERE cls IN {LOOSE}",
+    "validate_formats": " UNION ALL ".join(
+        f"""SELECT record_id, chrom, pos, '{s}' AS sample, x.field, x.rule, x.message FROM (SELECT *, unnest(list_concat(
+CASE WHEN {s} <> '.' THEN [{{'field': 'FORMAT', 'rule': 'fields', 'message': 'fields differ from FORMAT'}}] ELSE [] END,
+CASE WHEN {s} <> '.' AND record_id % 3 = 0 THEN [{{'field': 'GT', 'rule': 'range', 'message': 'no such allele'}}] ELSE [] END)) AS x FROM v)"""
+        for s in SAMPLES[:1]
+    ).join((f"WITH {V}, v AS (SELECT * FROM variants) ", " UNION ALL SELECT record_id, chrom, pos, NULL, 'XX', 'undeclared', 'format is not in the header' FROM v")),
+    "missing_tags": "SELECT unnest(['MQ', 'ZZ']) AS id",
     "left_align": f"{AL} SELECT record_id, (npos - 2 * (record_id % 7 + 1))::int AS npos, 'A' AS nref, 'ATG' AS nalt FROM al WHERE cls = 'ins'",
 }

@@ -12,7 +12,8 @@ from ..functions import align, fields
 from ..operators import alleles as O
 from ..operators import distributions, filters, joins, stats, validate
 from ..operators import intervals as I
-from .derived import SAMPLES, calls_a, calls_b, intervals, variants
+from ..sources import bed, vcf
+from .derived import SAMPLES, calls_a, calls_b, intervals, numbered, variants
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -328,6 +329,69 @@ def modify_genotypes(spark, d):
     return _kept(spark, d).select("record_id", *SAMPLES)
 
 
+@query
+def modify_genotype_numbers(spark, d):
+    rows = O.with_alleles(numbered(spark, d)).withColumn("__keep", O.class_filter([A.SNP, A.MNP]))
+    return O.rebuild(rows, PER_ALLELE, SAMPLES, {"GT": "1", "AO": "A", "AD": "R", "GL": "G"}).select("record_id", *SAMPLES)
+
+
+HEADER = vcf.Header.parse([
+    "##fileformat=VCFv4.1", '##INFO=<ID=DP,Number=1,Type=Integer,Description="Depth">', '##INFO=<ID=AC,Number=A,Type=Integer,Description="Counts">', '##INFO=<ID=DB,Number=0,Type=Flag,Description="Known">',
+    '##FORMAT=<ID=GT,Number=1,Type=String,Description="Genotype">', '##FORMAT=<ID=GQ,Number=1,Type=Integer,Description="Quality">', "#" + "\t".join([*vcf.COLUMNS, "FORMAT", *SAMPLES]),
+])
+
+
+def _text(spark, d) -> DataFrame:
+    """The call set as lines of a file, between meta lines and empty ones."""
+    body = vcf.lines(variants(spark, d), list(SAMPLES)).select("value")
+    return body.unionAll(spark.createDataFrame([(x,) for x in [*HEADER.lines(), ""]], "value string"))
+
+
+@query
+def read_vcf_text(spark, d):
+    return vcf.parse(_text(spark, d), HEADER, numbered=False).select("chrom", "pos", "rsid", "ref", "alt", "qual", "flt", "info", "format", *SAMPLES)
+
+
+@query
+def write_vcf_text(spark, d):
+    return vcf.lines(variants(spark, d), list(SAMPLES)).select("record_id", "value")
+
+
+@query
+def read_bed_text(spark, d):
+    return bed.parse(bed.lines(intervals(spark, d)).unionAll(spark.createDataFrame([("#chrom\tstart\tend",), ("track name=x",), ("",)], "value string")))
+
+
+@query
+def validate_records(spark, d):
+    """Positions and qualities that are no numbers, as read from lines."""
+    odd = lambda n, bad, text: F.when(F.col("record_id") % n == 0, bad).otherwise(text)
+    rows = variants(spark, d).withColumns({"pos_raw": odd(7, "x1", F.col("pos").cast("string")), "qual_raw": odd(11, "high", F.col("qual").cast("string"))})
+    return validate.record_faults(rows.withColumn("pos", odd(7, F.lit(0), F.col("pos"))))
+
+
+@query
+def validate_intervals(spark, d):
+    rows = intervals(spark, d)
+    return validate.interval_faults(rows.withColumn("e", F.when(F.col("s") % 5 == 0, F.col("s") - 2).otherwise(F.col("e"))))
+
+
+@query
+def validate_structural(spark, d):
+    return validate.structural_alleles(_alleles(variants(spark, d))).select("record_id", "chrom", "npos", "aid", "allele", "cls")
+
+
+@query
+def validate_formats(spark, d):
+    """Undeclared fields, samples with fewer fields than FORMAT, and alleles that are not there."""
+    rows = variants(spark, d).withColumn("format", F.lit("GT:GQ:XX"))
+    rows = rows.withColumn("S1", F.when((F.col("S1") != ".") & (F.col("record_id") % 3 == 0), F.lit("0/9:7")).otherwise(F.col("S1")))
+    return validate.genotype_faults(rows, SAMPLES[:1], (validate.Field("GT", "1", "String"), validate.Field("GQ", "1", "Integer")))
+
+
+@query
+def missing_tags(spark, d):
+    return filters.missing_tags(["DP", "MQ", "AC", "ZZ"], HEADER.frame(spark))
 
 
 def _repeats(spark, d) -> DataFrame:

@@ -23,6 +23,11 @@ def read(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     return rows
 
 
-def write(intervals: DataFrame, path: str) -> None:
+def lines(intervals: DataFrame) -> DataFrame:
+    """The intervals as lines (value) of a file."""
     parts = [F.col("chrom"), (F.col("s") - 1).cast("string"), F.col("e").cast("string"), F.col("name")]
-    intervals.select(F.concat_ws("\t", *parts).alias("value")).write.mode("overwrite").text(path)
+    return intervals.select(F.concat_ws("\t", *parts).alias("value"))
+
+
+def write(intervals: DataFrame, path: str) -> None:
+    lines(intervals).write.mode("overwrite").text(path)
