@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import groupby
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -112,9 +113,86 @@ def smith_waterman(reference: str, query: str, homopolymer: float = 0.0) -> Alig
     return Alignment(best, i, "".join(reversed(r)), "".join(reversed(q)))
 
 
+#: A bit for each base, so that codes match if they share one.
+_BITS = np.zeros(256, np.uint8)
+for _code, _bases in CODES.items():
+    for _c in (_code, _code.lower()):
+        _BITS[ord(_c)] = sum(1 << "ACGT".index(b) for b in _bases)
+#: Pairs whose tables are filled at once.
+TOGETHER = 2048
+
+
+def smith_watermans(pairs: list[tuple[str, str]], homopolymer: float = 0.0) -> list[Alignment]:
+    """`smith_waterman` of many (reference, query): each distinct pair once, pairs of equal lengths
+    together, a cell of all their tables at a time."""
+    by: dict[tuple[int, int], list[tuple[str, str]]] = {}
+    for x in dict.fromkeys(pairs):
+        by.setdefault((len(x[0]), len(x[1])), []).append(x)
+    done: dict[tuple[str, str], Alignment] = {}
+    for (n, m), own in by.items():
+        for at in range(0, len(own), TOGETHER):
+            part = own[at : at + TOGETHER]
+            done.update(zip(part, _together(part, n, m, homopolymer), strict=True))
+    return [done[x] for x in pairs]
+
+
+def _together(pairs: list[tuple[str, str]], n: int, m: int, homopolymer: float) -> list[Alignment]:
+    k = len(pairs)
+    if not n or not m:
+        return [Alignment(0.0, 0, "", "") for _ in pairs]
+    raw = [np.frombuffer("".join(x[i] for x in pairs).encode("latin-1", "replace"), np.uint8).reshape(k, -1).T for i in (0, 1)]
+    ref, query = (_BITS[x] for x in raw)
+    cost = [np.full(x.shape, OPEN) for x in raw]
+    for c, x in zip(cost, raw, strict=True):
+        c[1:] -= homopolymer * (x[1:] == x[:-1])
+    h, e, f = np.zeros((n + 1, m + 1, k)), np.full((n + 1, m + 1, k), -np.inf), np.full((n + 1, m + 1, k), -np.inf)
+    same = np.where(ref[:, None, :] & query[None, :, :], MATCH, MISMATCH)
+    for i in range(1, n + 1):
+        e[i, 1:] = np.maximum(h[i - 1, 1:] - cost[0][i - 1], e[i - 1, 1:] - EXTEND)
+        start = np.maximum(np.maximum(h[i - 1, :-1] + same[i - 1], e[i, 1:]), 0.0)
+        for j in range(1, m + 1):
+            f[i, j] = np.maximum(h[i, j - 1] - cost[1][j - 1], f[i, j - 1] - EXTEND)
+            h[i, j] = np.maximum(start[j - 1], f[i, j])
+    flat = h.reshape(-1, k)
+    best = flat.max(axis=0)
+    ends = (flat >= best - 1e-9).argmax(axis=0)  # the first
+    out = []
+    for x, (reference, other) in enumerate(pairs):
+        if best[x] <= 0:
+            out.append(Alignment(0.0, 0, "", ""))
+            continue
+        i, j = divmod(int(ends[x]), m + 1)
+        r, q, state = [], [], "h"
+        while i and j and (state != "h" or h[i, j, x] > 0):
+            if state == "h":
+                if abs(h[i, j, x] - h[i - 1, j - 1, x] - same[i - 1, j - 1, x]) < 1e-9:
+                    i, j = i - 1, j - 1
+                    r.append(reference[i])
+                    q.append(other[j])
+                else:
+                    state = "e" if abs(h[i, j, x] - e[i, j, x]) < 1e-9 else "f"
+            elif state == "e":
+                stay = abs(e[i, j, x] - (e[i - 1, j, x] - EXTEND)) < 1e-9
+                i, state = i - 1, "e" if stay else "h"
+                r.append(reference[i])
+                q.append("-")
+            else:
+                stay = abs(f[i, j, x] - (f[i, j - 1, x] - EXTEND)) < 1e-9
+                j, state = j - 1, "f" if stay else "h"
+                r.append("-")
+                q.append(other[j])
+        out.append(Alignment(float(best[x]), i, "".join(reversed(r)), "".join(reversed(q))))
+    return out
+
+
+def in_flanks(ref: str, alt: str, before: str, after: str) -> tuple[str, str]:
+    """The reference around an allele, and the same with the allele."""
+    return before[-FLANK:] + ref + after[:FLANK], before[-FLANK:] + alt + after[:FLANK]
+
+
 def align_allele(ref: str, alt: str, before: str, after: str) -> Alignment:
     """An allele in its flanks against the reference there."""
-    return smith_waterman(before[-FLANK:] + ref + after[:FLANK], before[-FLANK:] + alt + after[:FLANK])
+    return smith_waterman(*in_flanks(ref, alt, before, after))
 
 
 #: Operations that the alignment of each class may show.
@@ -146,7 +224,7 @@ def aligned(alleles: DataFrame, before: str = "before", after: str = "after") ->
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            done = [align_allele(r, a, x or "", y or "") for r, a, x, y in zip(b["nref"], b["nalt"], b[before], b[after], strict=True)]
+            done = smith_watermans([in_flanks(r, a, x or "", y or "") for r, a, x, y in zip(b["nref"], b["nalt"], b[before], b[after], strict=True)])
             yield b.assign(score=[d.score for d in done], cigar=[d.cigar for d in done], consistent=[consistent(c, d.cigar) for c, d in zip(b["cls"], done, strict=True)])
 
     return alleles.mapInPandas(run, schema)

@@ -276,5 +276,9 @@ CASE WHEN {s} <> '.' AND record_id % 3 = 0 THEN [{{'field': 'GT', 'rule': 'range
         for s in SAMPLES[:1]
     ).join((f"WITH {V}, v AS (SELECT * FROM variants) ", " UNION ALL SELECT record_id, chrom, pos, NULL, 'XX', 'undeclared', 'format is not in the header' FROM v")),
     "missing_tags": "SELECT unnest(['MQ', 'ZZ']) AS id",
-    "left_align": f"{AL} SELECT record_id, (npos - 2 * (record_id % 7 + 1))::int AS npos, 'A' AS nref, 'ATG' AS nalt FROM al WHERE cls = 'ins'",
+    "left_align": f"""WITH RECURSIVE {AL.removeprefix('WITH ')},
+la(record_id, aid, p, r, a, l) AS (SELECT record_id, aid::int, npos, nref, nalt, concat('ACCA', repeat('TG', (record_id % 7)::int), CASE WHEN nref LIKE 'G%' THEN 'T' ELSE '' END) FROM al WHERE cls NOT IN {LOOSE}
+UNION ALL SELECT record_id, aid, CASE WHEN short THEN p - 1 ELSE p END, CASE WHEN short THEN right(l, 1) ELSE '' END || left(r, length(r) - 1), CASE WHEN short THEN right(l, 1) ELSE '' END || left(a, length(a) - 1),
+CASE WHEN short THEN left(l, length(l) - 1) ELSE l END FROM (SELECT *, length(r) = 1 OR length(a) = 1 AS short FROM la) x WHERE right(r, 1) = right(a, 1) AND (NOT short OR length(l) > 0))
+SELECT record_id, aid, p::int AS npos, r AS nref, a AS nalt FROM la QUALIFY row_number() OVER (PARTITION BY record_id, aid ORDER BY length(l), length(r)) = 1""",
 }

@@ -394,29 +394,27 @@ def missing_tags(spark, d):
     return filters.missing_tags(["DP", "MQ", "AC", "ZZ"], HEADER.frame(spark))
 
 
-def _repeats(spark, d) -> DataFrame:
-    """Insertions of TG after n repeats of it, with the reference before them."""
-    rows = _alleles(variants(spark, d)).filter(F.col("cls") == A.INS)
-    n = (F.col("record_id") % 7 + 1).cast("int")
-    rows = rows.withColumn("left", F.concat(F.lit("ACCA"), F.repeat(F.lit("TG"), n - 1), F.lit("T")))
-    return rows.select("record_id", "npos", F.lit("G").alias("nref"), F.lit("GTG").alias("nalt"), "left")
+def _around(spark, d) -> DataFrame:
+    """All alleles of known bases, with the reference before and after each derived from its place."""
+    rows = _alleles(variants(spark, d)).filter(~F.col("cls").isin(A.SV, A.BND))
+    bases = lambda side: F.translate(F.substring(F.md5(F.concat_ws(":", F.lit(side), "chrom", "npos")), 1, 16), "0123456789abcdef", "ACGTACGTACGTACGT")
+    return rows.withColumns({"before": bases("before"), "after": bases("after")})
 
 
 @query
 def left_align(spark, d):
-    return align.left_aligned(_repeats(spark, d))
-
-
-def _flanked(spark, d) -> DataFrame:
+    """All alleles as they are, each after a number of repeats of its own."""
     rows = _alleles(variants(spark, d)).filter(~F.col("cls").isin(A.SV, A.BND))
-    return rows.groupBy("nref", "nalt", "cls").agg(F.count(F.lit(1)).alias("n")).withColumns({"before": F.lit("ACCATTGACCGATAGC"), "after": F.lit("CCGATTACAGGCATGA")})
+    repeats = F.repeat(F.lit("TG"), (F.col("record_id") % 7).cast("int"))
+    rows = rows.withColumn("left", F.concat(F.lit("ACCA"), repeats, F.when(F.col("nref").startswith("G"), "T").otherwise("")))
+    return align.left_aligned(rows.select("record_id", "aid", "npos", "nref", "nalt", "left"))
 
 
 @query
 def sw_align(spark, d):
-    return align.aligned(_flanked(spark, d)).select("nref", "nalt", "cls", "n", "score", "consistent")
+    return align.aligned(_around(spark, d)).select("record_id", "aid", "cls", "score", "consistent")
 
 
 @query
 def cigar(spark, d):
-    return align.aligned(_flanked(spark, d)).select("nref", "nalt", "cls", "cigar")
+    return align.aligned(_around(spark, d)).select("record_id", "aid", "cls", "cigar")

@@ -52,7 +52,7 @@ def register(spark: SparkSession) -> list[str]:
 
     @F.pandas_udf("string")
     def sw_cigar(ref: pd.Series, alt: pd.Series, before: pd.Series, after: pd.Series) -> pd.Series:
-        return pd.Series([align.align_allele(*x).cigar for x in zip(ref, alt, before, after, strict=True)])
+        return pd.Series([x.cigar for x in align.smith_watermans([align.in_flanks(*x) for x in zip(ref, alt, before, after, strict=True)])])
 
     for f in (allele_trim, left_align, sw_cigar):
         spark.udf.register(f.__name__, f)

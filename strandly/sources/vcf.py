@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from itertools import takewhile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,9 +80,19 @@ class Header:
 
 
 def read_header(spark: SparkSession, path: str) -> Header:
-    """Meta lines of a file. They are few and reach the driver; records do not."""
-    lines = spark.read.text(path).filter(F.col("value").startswith("#")).collect()
-    return Header.parse([r["value"].rstrip("\r") for r in lines])
+    """Meta lines of a file. They are few and reach the driver; records do not.
+
+    They are read from the beginning, up to the title line. Only where a record comes before it,
+    as in folders whose first part is not read first, all lines are looked through."""
+    text = spark.read.text(path)
+    for n in (1_000, 100_000):
+        found = [r["value"].rstrip("\r") for r in text.head(n)]
+        meta = list(takewhile(lambda x: x.startswith("#"), found))
+        if any(not x.startswith("##") for x in meta):
+            return Header.parse(meta)
+        if len(meta) < len(found) or len(found) < n:
+            break
+    return Header.parse([r["value"].rstrip("\r") for r in text.filter(F.col("value").startswith("#")).collect()])
 
 
 def parse(lines: DataFrame, header: Header, file_idx: int = 0, numbered: bool = True) -> DataFrame:

@@ -312,6 +312,15 @@ def test_alignment(spark):
     assert align.smith_waterman("", "A").cigar == ""
 
 
+def test_alignments_together_are_those_alone():
+    r = random.Random(5)
+    word = lambda n, of: "".join(r.choice(of) for _ in range(n))
+    pairs = [(word(r.randint(0, 14), "ACGT"), word(r.randint(0, 14), "ACGTNRYacg")) for _ in range(150)]
+    pairs += [(x, x[:i] + word(r.randint(0, 3), "ACGT") + x[i + r.randint(0, 3) :]) for x in (word(30, "ACGT") for _ in range(60)) for i in (12,)]
+    for homopolymer in (0.0, 5.0):
+        assert align.smith_watermans(pairs + pairs[:5], homopolymer) == [align.smith_waterman(a, b, homopolymer) for a, b in pairs + pairs[:5]]
+
+
 def test_sequences(spark, tmp_path):
     (tmp_path / "r.fa").write_text(">chr1 one\nACGTAC\nGTACCA\nTTG\n>chr2\nGGGCCC\n")
     chunks = fasta.read(spark, str(tmp_path / "r.fa"), 4)
@@ -326,6 +335,23 @@ def test_sequences(spark, tmp_path):
     assert sorted((x["record_id"], x["npos"], x["nref"], x["nalt"]) for x in done.collect()) == [(1, 4, "A", "ATG"), (2, 3, "C", "T")]
 
 
+def test_long_sequences_in_splits(spark, tmp_path):
+    r = random.Random(4)
+    seqs = {f"c{i}": "".join(r.choice("ACGTN") for _ in range(n)) for i, n in enumerate((700_001, 0, 59, 60, 300_000))}
+    path = tmp_path / "long.fa"
+    path.write_text("".join(f">{k} about\n" + "".join(s[i : i + 60] + "\n" for i in range(0, len(s), 60)) for k, s in seqs.items()))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 100_000)
+    try:
+        chunks = {(x["name"], x["chunk"]): x["seq"] for x in fasta.read(spark, str(path), 10_000).collect()}
+        rows = [tuple(x) for x in fasta.index(spark, str(path)).collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert chunks == {(k, i): s[10_000 * i : 10_000 * i + 10_000] for k, s in seqs.items() for i in range(-(-len(s) // 10_000))}
+    raw = path.read_text()
+    want = [(k, len(s), raw.index(f">{k} about\n") + len(k) + 8, min(60, len(s)), min(60, len(s)) + (len(s) > 0), True) for k, s in seqs.items()]
+    assert rows == want
+
+
 def test_registry_and_samples(spark, tmp_path):
     names = registry.register(spark)
     assert "is_ts" in names and "joins.common" in registry.OPERATORS
