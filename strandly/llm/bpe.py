@@ -24,7 +24,7 @@ BLANK = "\t\n\x0b\x0c\r \x85\xa0                
 #: What str.split() takes for white space beyond BLANK.
 ODD = re.compile("[\x1c-\x1f]")
 #: Pieces of text whose ids a worker remembers.
-KEPT = 100_000
+KEPT = 200_000
 
 _coders: dict[str, "Coder"] = {}
 
@@ -115,14 +115,13 @@ class Coder:
         text = text if text.isascii() else unicodedata.normalize("NFC", text)
         # one character at a time: a capital sigma has one lower form here
         text = text.replace("Σ", "σ").lower()
-        known, out = self.known, []
-        for piece in self.blank.split(text) if ODD.search(text) else text.split():
-            ids = known.get(piece)
-            if ids is None:
-                ids = self.piece(piece)
-                known = self.known
-            out += ids
-        return out
+        pieces = self.blank.split(text) if ODD.search(text) else text.split()
+        known = self.known
+        if new := set(pieces).difference(known):
+            found = {p: self.piece(p) for p in new}
+            if self.known is not known or not new <= known.keys():  # long ones are not remembered
+                known = {p: found[p] if p in found else known[p] for p in set(pieces)}
+        return list(chain.from_iterable(map(known.__getitem__, pieces)))
 
     def encode(self, text: str) -> list[int]:
         if not self.cut or "<|" not in text and not self.cut.search(text):
@@ -137,7 +136,10 @@ class Coder:
 
     def decode(self, ids: list[int]) -> str:
         """Vocabulary strings one after another; the file names no decoder, so a blank stands between."""
-        return " ".join([s for i in ids if (s := self.strings.get(i)) is not None])
+        try:
+            return " ".join(map(self.strings.__getitem__, ids))
+        except KeyError:
+            return " ".join([s for i in ids if (s := self.strings.get(i)) is not None])
 
 
 def coder(path: str) -> Coder:
@@ -177,7 +179,10 @@ def bpe_decode(rows: DataFrame, path: str, ids_col: str = "ids", out_col: str =
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                out = pa.array([tool.decode(x or []) for x in part.column(at).to_pylist()], pa.string())
+                lists = part.column(at)
+                ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+                given = zip(lists.is_valid().to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True)
+                out = pa.array([tool.decode(flat[a:b].tolist()) if ok else "" for ok, a, b in given], pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns, out], names=schema.names)
 
     return rows.select(others).mapInArrow(lean(decode), schema)
