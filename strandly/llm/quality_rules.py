@@ -14,7 +14,7 @@ from .common import LOWER, SPACE, SPACE_RE, UPPER, cut, let, with_ids
 PARTS = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"
 SYMBOLS = "#*$%&|<>"
 #: Cells that n-grams are hashed to, and the mean log-likelihood ratio from which a document stays:
-#: in the gap between labelled documents that pass the base rules, good ones (all above -0.02 at
+#: in the gap between labelled documents that pass the base rules, good ones (99.9 % above -0.01 at
 #: sf0.1) and low-quality ones (99 % below -0.87).
 CELLS, THRESHOLD = 16_384, -0.35
 
