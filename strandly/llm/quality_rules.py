@@ -79,7 +79,7 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESH
     table = llr_table(docs, trusted, cells, id_col, text_col)
     text = F.coalesce(F.col(text_col), F.lit(""))
     w = F.filter(F.split(text, SPACE_RE), lambda x: x != F.lit(""))
-    bare = F.translate(text, SPACE, "")
+    found = lambda signs: F.regexp_count(text, F.lit(f"[{signs}]"))
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(F.btrim(x, F.lit(SPACE))) > 0)
     # a constant that the optimizer evaluates once
     ratios = F.from_json(F.lit(json.dumps(table)), "array<double>")
@@ -87,8 +87,8 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESH
     rows = docs.select(
         F.col(id_col),
         w.alias("w"),
-        long(F.length(bare)).alias("word_chars"),
-        long(F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).alias("n_symbols"),
+        long(F.length(text) - found(r"\x20\x09-\x0D")).alias("word_chars"),
+        long(found(SYMBOLS)).alias("n_symbols"),
         long(F.size(lines) - F.size(F.array_distinct(lines))).alias("n_dup_lines"),
         _grams(text, cells).alias("g"),
     )
