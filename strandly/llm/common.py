@@ -22,6 +22,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Most ids that are broadcast (8 bytes each); above it the same join goes through a shuffle.
 BROADCAST_IDS = 2_000_000
 ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Bits of a size estimate that a cut hands on; Spark's own for an unknown size has 63.
+ESTIMATE_BITS = 64
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -47,9 +49,21 @@ def prepare(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the shared folder: survives lost executors and is computed once."""
+    """A checkpoint in the shared folder: survives lost executors and is computed once.
+
+    Spark hands a plan's size estimate on to its checkpoint, and estimates a join as the product
+    of its sides: over rounds of joins that number fills the driver's memory with its digits. One
+    beyond any table's size is dropped, so that the checkpoint has an unknown size; partitioning
+    and order stay known."""
     prepare(df.sparkSession)
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)
+    plan = done._jdf.queryExecution().analyzed()
+    if plan.stats().sizeInBytes().bit_length() <= ESTIMATE_BITS:
+        return done
+    jvm, session = df.sparkSession._jvm, done._jdf.sparkSession()
+    none = jvm.scala.Option.empty()
+    bare = jvm.org.apache.spark.sql.execution.LogicalRDD(plan.output(), plan.rdd(), plan.outputPartitioning(), plan.outputOrdering(), False, none, session, none, none)
+    return type(done)(jvm.org.apache.spark.sql.classic.Dataset.ofRows(session, bare), df.sparkSession)
 
 
 def fresh(df: DataFrame, *keys: str) -> DataFrame:

@@ -17,6 +17,7 @@ pytest.importorskip("strandly.llm")
 from pyspark.sql import functions as F  # noqa: E402
 
 from strandly.llm import bpe, exact_dedup, html_extract, jaccard_cells, jaccard_join, kneser_ney, line_dedup, mixing, quality_rules, queries, secrets, token_counts  # noqa: E402
+from strandly.llm.common import cut  # noqa: E402
 from strandly.llm.components import components  # noqa: E402
 
 WS = re.compile(r"[\x20\x09-\x0D]+")
@@ -430,6 +431,15 @@ def test_components(spark, few):
     assert got == {i: root(i) for i in parent if root(i) != i}
 
 
+def test_cuts_in_rounds_keep_size_estimates_small(spark):
+    """Each round of joins multiplies the estimate; its digits filled the driver's memory."""
+    rows = cut(spark.range(50).select("id", (F.col("id") % 7).alias("v")))
+    for _ in range(8):
+        rows = cut(rows.join(rows.select("id", F.col("v").alias("w")), "id").select("id", "v"))
+        assert rows._jdf.queryExecution().analyzed().stats().sizeInBytes().bit_length() <= 64
+    assert sorted(map(tuple, rows.collect())) == [(i, i % 7) for i in range(50)]
+
+
 def test_jaccard_join_repeats_and_empty(spark):
     same = jaccard_join.jaccard_join(docs(spark, ["a b c d e f", "a b c d e f", "a b c d e f", None], [9, 9, 4, None])).collect()
     assert sorted((x["doc_id"] or 0, x["component_id"]) for x in same) == [(0, None), (4, 4), (9, 4), (9, 4)]
