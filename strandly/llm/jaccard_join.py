@@ -398,11 +398,12 @@ def split_cells(members: DataFrame, sizes: DataFrame, t: tuple[int, int], most:
     Returns (cell, key, members) of the cells left, and the links found."""
     left, links, r = [], [], 1 - t[0] / t[1]
     sets = cut(members.select("key", "members").dropDuplicates(["key"]))
-    now, turn = cut(members.select("cell", "key").distinct()), 0
+    now, turn, label = cut(members.select("cell", "key").distinct()), 0, None
     while turn < rounds and not sizes.isEmpty():
         order = F.xxhash64("key", F.lit(turn))
         posts = cut(prefixes(now.join(sets, "key"), t).withColumn("o", order))
-        label = cut(components(_union(links))) if links else None
+        if links:  # the label of earlier links connects what they do, in far fewer pieces
+            label = cut(components(links[-1] if label is None else label.unionAll(links[-1])))
         if label is not None:
             posts = posts.join(label.withColumnsRenamed({"a": "key", "b": "root"}), "key", "left").withColumn("root", F.coalesce("root", "key"))
         else:
