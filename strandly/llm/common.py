@@ -54,9 +54,12 @@ def cut(df: DataFrame) -> DataFrame:
     Spark hands a plan's size estimate on to its checkpoint, and estimates a join as the product
     of its sides: over rounds of joins that number fills the driver's memory with its digits. One
     beyond any table's size is dropped, so that the checkpoint has an unknown size; partitioning
-    and order stay known."""
+    and order stay known. The shuffle files that led to the checkpoint go at once: Spark keeps
+    them until the driver happens to collect its garbage."""
     prepare(df.sparkSession)
-    done = df.checkpoint(eager=True)
+    own = df.select("*")  # an execution of its own, so that no other reads its shuffles
+    done = own.checkpoint(eager=True)
+    _drop_shuffles(own)
     plan = done._jdf.queryExecution().analyzed()
     if plan.stats().sizeInBytes().bit_length() <= ESTIMATE_BITS:
         return done
@@ -66,6 +69,23 @@ def cut(df: DataFrame) -> DataFrame:
     return type(done)(jvm.org.apache.spark.sql.classic.Dataset.ofRows(session, bare), df.sparkSession)
 
 
+def _drop_shuffles(df: DataFrame) -> None:
+    """Removes the shuffle files of a frame's own execution, as Spark does for finished queries
+    by spark.sql.classic.shuffleDependency.fileCleanup.enabled: a later read would run them again."""
+    plan = df._jdf.queryExecution().executedPlan()
+    if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+        files = df.sparkSession.sparkContext._jsc.sc().shuffleDriverComponents()
+        for i in plan.context().shuffleIds().keySet().toArray():
+            files.removeShuffle(i, False)
+
+
+def free(*cuts: DataFrame) -> None:
+    """Deletes the files of cuts that nothing reads any more."""
+    for df in cuts:
+        sc = df.sparkSession.sparkContext
+        sc._jvm.org.apache.spark.rdd.ReliableRDDCheckpointData.cleanCheckpoint(sc._jsc.sc(), df._jdf.queryExecution().analyzed().rdd().id())
+
+
 def fresh(df: DataFrame, *keys: str) -> DataFrame:
     """The same rows with whole-number keys whose partitioning is not known, so that a join on
     them deals both sides anew and can split a key with very many rows at runtime."""

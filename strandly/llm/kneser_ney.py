@@ -14,7 +14,7 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, lean, prepare, slices, texts, with_ids
+from .common import cut, free, lean, prepare, slices, texts, with_ids
 
 #: A unit is a UTF-16 code below DIRECT as it is; higher ones share the rest of the 2**BITS units.
 ORDER, BITS, DIRECT = 5, 12, 3072
@@ -161,7 +161,7 @@ def model_scores(table: DataFrame) -> DataFrame:
     counts = {ORDER: table.filter("c > 0").select("lang", "gram", "c")}
     for k in range(ORDER - 1, 0, -1):
         counts[k] = cut(counts[k + 1].groupBy("lang", _suffix(F.col("gram"), k).alias("gram")).agg(F.count(F.lit(1)).alias("c")))
-    asked = {ORDER: table.select("lang", "gram")}
+    asked = {ORDER: table.select("lang", "gram", "n")}
     for k in range(ORDER - 1, 0, -1):
         asked[k] = asked[k + 1].select("lang", _suffix(F.col("gram"), k).alias("gram")).distinct()
     lower = None
@@ -179,8 +179,10 @@ def model_scores(table: DataFrame) -> DataFrame:
             rows = rows.withColumn("suffix", _suffix(F.col("gram"), k - 1)).join(lower, ["lang", "suffix"])
         own = F.coalesce(F.col("c") - F.col("taken"), F.lit(0.0))
         p = F.when(F.col("total").isNull(), F.col("low")).otherwise((own + F.col("left") * F.col("low")) / F.col("total"))
-        lower = cut(rows.select("lang", F.col("gram").alias("suffix"), p.alias("low")))
-    return cut(table.select("lang", "gram", "n").join(lower.select("lang", F.col("suffix").alias("gram"), F.log("low").alias("logp")), ["lang", "gram"]))
+        done = cut(rows.select("lang", F.col("gram").alias("suffix"), p.alias("low")) if k < ORDER else rows.select("lang", "gram", "n", F.log(p).alias("logp")))
+        free(*([counts[k]] if k < ORDER else []), *([lower] if lower is not None else []))
+        lower = done
+    return lower
 
 
 def _score(head: Broadcast, keep: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -200,20 +202,21 @@ def _score(head: Broadcast, keep: list[str]) -> Callable[[Iterator[pa.RecordBatc
                     sums += np.bincount(owner, value, len(given))
                     sizes += np.bincount(owner, minlength=len(given))
                     missed.append((keys[~hit], owner[~hit]))
-            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(sizes), pa.array(sums), pa.array([repeated(t) for t in given], pa.float64()), _counted(missed, len(given))], names=[*keep, "units", "head", "same", "rest"])
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(sizes), pa.array(sums), pa.array([repeated(t) for t in given], pa.float64()), *_counted(missed, len(given))], names=[*keep, "units", "head", "same", "rest", "times"])
 
     return run
 
 
-def _counted(missed: list[tuple[np.ndarray, np.ndarray]], n: int) -> pa.Array:
-    """Of each of n texts its distinct grams with their counts."""
+def _counted(missed: list[tuple[np.ndarray, np.ndarray]], n: int) -> tuple[pa.Array, pa.Array]:
+    """Of each of n texts its distinct grams, and their counts: lists of numbers take 12 bytes a
+    gram in a checkpoint, of pairs 32."""
     keys, owner = (np.concatenate([m[i] for m in missed]) for i in (0, 1))
     order = np.lexsort((keys, owner))
     keys, owner = keys[order], owner[order]
     first = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])])) if len(keys) else np.zeros(0, np.int64)
     counts = np.diff(np.concatenate([first, [len(keys)]]))
-    ends = np.searchsorted(owner[first], np.arange(n + 1)).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(keys[first]), pa.array(counts.astype(np.int64))], ["gram", "c"]))
+    ends = pa.array(np.searchsorted(owner[first], np.arange(n + 1)).astype(np.int32))
+    return tuple(pa.ListArray.from_arrays(ends, pa.array(x)) for x in (keys[first], counts.astype(np.int32)))
 
 
 def thresholds(rows: DataFrame, q: float, least: int) -> DataFrame:
@@ -264,6 +267,7 @@ def classify(
     counted = rows.select("lang", "use", "text").mapInArrow(lean(_count), "lang string, gram long, n long, c long")
     table = cut(counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum("c").alias("c")))
     scores = model_scores(table)
+    free(table)
     top = scores.orderBy(F.desc("n"), "lang", "gram").limit(head).select("lang", "gram", "logp").toArrow()
     by_lang = {}
     for lang in pc.unique(top["lang"]).to_pylist():
@@ -271,13 +275,14 @@ def classify(
         by_lang[lang] = (own["gram"].to_numpy(), own["logp"].to_numpy())
     sent = spark.sparkContext.broadcast(by_lang)
     schema = rows.select("id", "lang", "use").schema
-    for field in spark.createDataFrame([], "units long, head double, same double, rest array<struct<gram:bigint,c:bigint>>").schema:
+    for field in spark.createDataFrame([], "units long, head double, same double, rest array<bigint>, times array<int>").schema:
         schema = schema.add(field)
     done = cut(rows.mapInArrow(lean(_score(sent, ["id", "lang", "use"])), schema).withColumn("rid", F.monotonically_increasing_id()))
-    rest = done.select("rid", "lang", F.explode("rest").alias("r")).select("rid", "lang", "r.gram", "r.c")
+    rest = done.select("rid", "lang", F.explode(F.arrays_zip("rest", "times")).alias("r")).select("rid", "lang", F.col("r.rest").alias("gram"), F.col("r.times").alias("c"))
     rest = rest.join(scores.select("lang", "gram", "logp"), ["lang", "gram"]).groupBy("rid").agg(F.sum(F.col("c") * F.col("logp")).alias("tail"))
-    done = done.join(rest, "rid", "left").withColumn("x", -(F.col("head") + F.coalesce("tail", F.lit(0.0))) / F.nullif(F.col("units"), F.lit(0)))
-    done = cut(done.select("id", "lang", "use", "units", "x", "same"))
-    bounds = cut(thresholds(done, 1 - (1 - q) / 2, least))  # two bounds share what may be lost
+    scored = done.join(rest, "rid", "left").withColumn("x", -(F.col("head") + F.coalesce("tail", F.lit(0.0))) / F.nullif(F.col("units"), F.lit(0)))
+    scored = cut(scored.select("id", "lang", "use", "units", "x", "same"))
+    free(scores, done)
+    bounds = cut(thresholds(scored, 1 - (1 - q) / 2, least))  # two bounds share what may be lost
     kept = F.coalesce((F.col("x") <= F.col("hi")) & (F.col("same") <= F.col("most")), F.lit(False))
-    return with_ids(done, bounds, "inner").select(F.col("id").alias(id_col), "lang", F.col("units").alias("n_units"), F.exp("x").alias("perplexity"), kept.alias("kept"), "bound_of")
+    return with_ids(scored, bounds, "inner").select(F.col("id").alias(id_col), "lang", F.col("units").alias("n_units"), F.exp("x").alias("perplexity"), kept.alias("kept"), "bound_of")

@@ -5,6 +5,7 @@ import math
 import os
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -17,7 +18,7 @@ pytest.importorskip("strandly.llm")
 from pyspark.sql import functions as F  # noqa: E402
 
 from strandly.llm import bpe, exact_dedup, html_extract, jaccard_cells, jaccard_join, kneser_ney, line_dedup, mixing, quality_rules, queries, secrets, token_counts  # noqa: E402
-from strandly.llm.common import cut  # noqa: E402
+from strandly.llm.common import cut, free  # noqa: E402
 from strandly.llm.components import components  # noqa: E402
 
 WS = re.compile(r"[\x20\x09-\x0D]+")
@@ -440,6 +441,40 @@ def test_cuts_in_rounds_keep_size_estimates_small(spark):
     assert sorted(map(tuple, rows.collect())) == [(i, i % 7) for i in range(50)]
 
 
+def test_cuts_leave_no_shuffle_files(spark):
+    """They stayed until the driver collected its garbage, and filled the disk."""
+    disk = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    shuffles = lambda: {f for f in re.findall(r"shuffle_\d+_\d+_\d+\.data", disk.getAllFiles().toString())}
+    before = shuffles()
+    counts = spark.range(2000).groupBy((F.col("id") % 40).alias("v")).count()
+    rows = cut(counts)
+    for _ in range(50):
+        if not (left := shuffles() - before):
+            break
+        time.sleep(0.1)
+    assert not left
+    assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, counts.collect())) == [(i, 50) for i in range(40)]
+    free(rows)
+    assert not _files(rows)
+
+
+def _files(df):
+    path = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile().get()
+    return [f for _, _, fs in os.walk(path.removeprefix("file:")) for f in fs]
+
+
+def test_classifier_frees_its_counts(spark, monkeypatch):
+    """Counts and scores of grams, the largest tables, are gone when the result is there."""
+    made = []
+    monkeypatch.setattr(kneser_ney, "cut", lambda df: made.append(cut(df)) or made[-1])
+    table = docs(spark, corpus() + ODD)
+    found = kneser_ney.classify(table, table.select("doc_id").filter("doc_id % 2 = 0"), head=20)
+    first = sorted(map(str, found.collect()))
+    assert len(first) == len(corpus() + ODD) and first == sorted(map(str, found.collect()))
+    grams = [df for df in made if {"gram", "suffix", "rest"} & set(df.columns)]
+    assert len(grams) == 2 * kneser_ney.ORDER + 1 and not any(map(_files, grams))
+
+
 def test_jaccard_join_repeats_and_empty(spark):
     same = jaccard_join.jaccard_join(docs(spark, ["a b c d e f", "a b c d e f", "a b c d e f", None], [9, 9, 4, None])).collect()
     assert sorted((x["doc_id"] or 0, x["component_id"]) for x in same) == [(0, None), (4, 4), (9, 4), (9, 4)]
