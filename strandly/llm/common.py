@@ -8,6 +8,7 @@ import gc
 import os
 import shutil
 import tempfile
+import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -19,12 +20,18 @@ from pyspark.sql import functions as F
 SPACE = " \t\n\x0b\x0c\r"
 SPACE_RE = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Most ids that are broadcast (8 bytes each); above it the same join goes through a shuffle.
-BROADCAST_IDS = 2_000_000
+#: Most ids that are broadcast as Spark's table (the driver takes about 150 bytes each to build it);
+#: above it the same join goes through a shuffle.
+BROADCAST_IDS = 500_000
 ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Bits of a size estimate that a cut hands on; Spark's own for an unknown size has 63.
 ESTIMATE_BITS = 64
 
+#: The driver collects its garbage at a cut once its heap has grown to this share of the largest
+#: it may have, so many seconds after the last time at least.
+FULL, PAUSE = 0.5, 15.0
+_collected = -PAUSE
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -60,6 +67,7 @@ def cut(df: DataFrame) -> DataFrame:
     own = df.select("*")  # an execution of its own, so that no other reads its shuffles
     done = own.checkpoint(eager=True)
     _drop_shuffles(own)
+    _collect(df.sparkSession)
     plan = done._jdf.queryExecution().analyzed()
     if plan.stats().sizeInBytes().bit_length() <= ESTIMATE_BITS:
         return done
@@ -79,6 +87,20 @@ def _drop_shuffles(df: DataFrame) -> None:
             files.removeShuffle(i, False)
 
 
+def _collect(spark: SparkSession) -> None:
+    """Collects the driver's garbage where its heap is large, see FULL.
+
+    Spark forgets map outputs, broadcasts and checkpoints of frames that are gone only then, and a
+    heap once grown to its limit stays so, beside all that the driver holds outside of it."""
+    global _collected
+    jvm = spark.sparkContext._jvm
+    heap = jvm.java.lang.Runtime.getRuntime()
+    if time.monotonic() - _collected >= PAUSE and heap.totalMemory() > FULL * heap.maxMemory():
+        gc.collect()
+        jvm.java.lang.System.gc()
+        _collected = time.monotonic()
+
+
 def free(*cuts: DataFrame) -> None:
     """Deletes the files of cuts that nothing reads any more."""
     for df in cuts:

@@ -26,6 +26,8 @@ TASK_HOT, HOT = 4096, 65_536
 #: Shingles that a bucket or a cell in one task holds on average; pivots of a group in the first
 #: round of a larger cell, and the most rounds.
 BUCKET, CELL, PIVOTS, ROUNDS = 1_000_000, 2_000_000, 16, 32
+#: Most sets whose names and ids are sent to every worker as sorted arrays (16 bytes each).
+SENT = 2_000_000
 
 U64 = np.uint64
 #: Stands for a null id inside.
@@ -135,17 +137,23 @@ def _scan(size: int, bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator
     return run
 
 
-def _sets(size: int, name: Callable[[], Callable[[np.ndarray], int]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (key, members) of documents that have a shingle."""
+def _sets(size: int, name: Callable[[], Callable[[np.ndarray], int]], wanted: Broadcast | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (key, members) of documents that have a shingle, of those whose id and key are wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         named = name()
+        if wanted is not None:
+            ids, names = wanted.value
+            batches = (b.filter(pa.array(_is_in(b.column("id").to_numpy(), ids))) for b in batches)
         for part in slices(batches, "text", 2_000_000):
-            found = [s for s in shingle_sets(texts(part, "text"), size) if len(s)]
+            found = [(named(s), s) for s in shingle_sets(texts(part, "text"), size) if len(s)]
+            if wanted is not None and found:
+                some = _is_in(np.array([k for k, _ in found], np.int64), names)
+                found = [x for x, own in zip(found, some, strict=True) if own]
             if found:
-                ends = np.concatenate([[0], np.cumsum([len(s) for s in found])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array([named(s) for s in found], pa.int64()), lists], names=["key", "members"])
+                ends = np.concatenate([[0], np.cumsum([len(s) for _, s in found])]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([s for _, s in found]).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), lists], names=["key", "members"])
 
     return run
 
@@ -481,8 +489,16 @@ def jaccard_join(docs: DataFrame, threshold: tuple[int, int] = (75, 100), size:
     name = lambda: _namer(renamed, bits)
 
     alive = cut(survivors(rows, hot, size, name, threshold, total).join(classes, "key").select("key", "n", F.coalesce("rep", F.lit(NO_ID)).alias("id")))
-    picked = with_ids(rows, cut(alive.select("id").distinct()), "left_semi")
-    sets = cut(with_ids(picked.mapInArrow(lean(_sets(size, name), _forget), "key long, members array<bigint>"), alive.select("key"), "left_semi").dropDuplicates(["key"]))
+    found = "key long, members array<bigint>"
+    if alive.limit(SENT + 1).count() <= SENT:  # as arrays: the driver would build tables of many times their size
+        given = alive.select("id", "key").toArrow()
+        wanted = spark.sparkContext.broadcast(tuple(np.sort(given[c].to_numpy().astype(np.int64)) for c in ("id", "key")))
+        del given
+        sets = rows.mapInArrow(lean(_sets(size, name, wanted), _forget), found)
+    else:
+        picked = with_ids(rows, cut(alive.select("id").distinct()), "left_semi")
+        sets = with_ids(picked.mapInArrow(lean(_sets(size, name, None), _forget), found), alive.select("key"), "left_semi")
+    sets = cut(sets.dropDuplicates(["key"]))
     total = alive.agg(F.sum("n")).first()[0] or 0
 
     links, live = first_links(postings(sets, hot, threshold, total), sets, threshold)

@@ -17,7 +17,7 @@ pytest.importorskip("strandly.llm")
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from strandly.llm import bpe, exact_dedup, html_extract, jaccard_cells, jaccard_join, kneser_ney, line_dedup, mixing, quality_rules, queries, secrets, token_counts  # noqa: E402
+from strandly.llm import bpe, common, exact_dedup, html_extract, jaccard_cells, jaccard_join, kneser_ney, line_dedup, mixing, quality_rules, queries, secrets, token_counts  # noqa: E402
 from strandly.llm.common import cut, free  # noqa: E402
 from strandly.llm.components import components  # noqa: E402
 
@@ -458,6 +458,34 @@ def test_cuts_leave_no_shuffle_files(spark):
     assert not _files(rows)
 
 
+def test_sets_are_picked_without_broadcast_tables(spark, monkeypatch):
+    """Spark's tables of two million ids took 590 MB of the driver; beyond SENT a shuffle gives the same."""
+    table, asked, given = docs(spark, corpus() + ODD), [], jaccard_join.with_ids
+    monkeypatch.setattr(jaccard_join, "with_ids", lambda rows, ids, how, *a: asked.append((ids.columns, how)) or given(rows, ids, how, *a))
+    first = sorted(map(str, jaccard_join.jaccard_join(table).collect()))
+    assert not [x for x in asked if x[1] == "left_semi"]
+    monkeypatch.setattr(jaccard_join, "SENT", 3)
+    assert sorted(map(str, jaccard_join.jaccard_join(table).collect())) == first
+    assert [x for x in asked if x[1] == "left_semi"] == [(["id"], "left_semi"), (["key"], "left_semi")]
+
+
+def test_cuts_collect_a_large_heap(spark, monkeypatch):
+    """What is gone stayed in the driver, whose heap grew to its limit."""
+    tracker = spark.sparkContext._jsc.sc().env().mapOutputTracker()
+    monkeypatch.setattr(common, "PAUSE", 0.0)
+    monkeypatch.setattr(common, "FULL", 0.0)
+    cut(spark.range(9))
+    time.sleep(1)
+    before = tracker.shuffleStatuses().size()
+    for i in range(12):
+        cut(spark.range(200).groupBy((F.col("id") % (i + 2)).alias("v")).count())
+    for _ in range(50):
+        if tracker.shuffleStatuses().size() < before + 6:
+            break
+        cut(spark.range(9))
+    assert tracker.shuffleStatuses().size() < before + 6
+
+
 def _files(df):
     path = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile().get()
     return [f for _, _, fs in os.walk(path.removeprefix("file:")) for f in fs]
